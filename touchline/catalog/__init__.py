@@ -6,7 +6,7 @@ from importlib import import_module
 
 from touchline.catalog.base import ORACLES, QUERIES
 
-MODULES = ["canonical", "history"]
+MODULES = ["canonical", "history", "joins", "stats"]
 
 
 def _load():

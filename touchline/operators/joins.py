@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.ordered import ROWS_PER_TASK, carry_last, running_totals
+from touchline.operators.ordered import ROWS_PER_TASK, carry_last, over_recent, running_totals
 
 
 class CardinalityError(ValueError):
@@ -218,21 +218,23 @@ def asof_latest(
     asked = asked.withColumn("_row", F.lit(None).cast(past.schema["_row"].dataType)).withColumn(
         "_event", F.lit(None).cast(past.schema["_event"].dataType)
     )
-    line = past.unionByName(asked)
     order = ["_at", "_kind", "_event", "_tie"]
+    carried = F.col("_row")
+    if exclude is not None:
+        # A history row brings the one before it, in case it is the excluded one.
+        past = over_recent(
+            past, ["_key"], order, 1, lambda frame, w: {"_prior": F.lag("_row").over(w)},
+            budget=budget, fits=fits,
+        )
+        carried = F.struct("_row", "_prior")
+    line = past.unionByName(asked, allowMissingColumns=True)
     seen = carry_last(
-        line, ["_key"], order, F.when(F.col("_kind") == 1, F.col("_row")), "_last",
-        budget=budget, fits=fits,
+        line, ["_key"], order, F.when(F.col("_kind") == 1, carried), "_last", budget=budget, fits=fits
     )
+    chosen = F.col("_last")
     if exclude is not None:
-        # The row before the last one, carried the same way.
-        previous = F.when(F.col("_kind") == 1, F.struct(F.col("_row"), F.col("_prior")))
-        shifted = _previous_of_key(seen, order, budget, fits)
-        seen = carry_last(shifted, ["_key"], order, previous, "_two", budget=budget, fits=fits)
-        use_prior = F.col("_two._row")[tie] == F.col("_probe")[exclude]
-        chosen = F.when(use_prior, F.col("_two._prior")).otherwise(F.col("_two._row"))
-    else:
-        chosen = F.col("_last")
+        latest, prior = F.col("_last._row"), F.col("_last._prior")
+        chosen = F.when(latest[tie] == F.col("_probe")[exclude], prior).otherwise(latest)
     out = seen.where(F.col("_kind") == 0).select("_probe", chosen.alias("_chosen"))
     if required:
         out = out.withColumn(
@@ -249,21 +251,6 @@ def asof_latest(
     )
 
 
-def _previous_of_key(line: DataFrame, order, budget, fits) -> DataFrame:
-    """Add ``_prior``: the history row before each history row of the key."""
-    from touchline.operators.ordered import over_recent
-
-    history = line.where(F.col("_kind") == 1)
-    probes = line.where(F.col("_kind") == 0)
-    lagged = over_recent(
-        history, ["_key"], order, 1, lambda frame, w: {"_prior": F.lag("_row").over(w)},
-        budget=budget, fits=fits,
-    )
-    return lagged.unionByName(
-        probes.withColumn("_prior", F.lit(None).cast(line.schema["_row"].dataType))
-    )
-
-
 def count_between(
     probes: DataFrame,
     events: DataFrame,

@@ -14,7 +14,7 @@ from touchline.functions.scoreline import with_markets
 from touchline.operators.flatten import prematch_context
 from touchline.operators.history import DAY_MICROS
 from touchline.operators.joins import asof_latest, count_between, first_available, split_supported
-from touchline.operators.ordered import ROWS_PER_TASK
+from touchline.operators.ordered import ROWS_PER_TASK, group_fits
 from touchline.operators.perspective import matchup
 from touchline.operators.sets import last_n, present
 
@@ -70,6 +70,10 @@ def fixture_features(
          *[f.removeprefix("opponent_") for f in features if f.startswith("opponent_")],
          "kickoff_utc", "elo_pre", "elo_post", "team_displayed_ranking", "team_confederation"]
     ) if c in master.columns]
+    if fits is None:
+        # Fixtures and history of a team meet in one ordering: judge both together.
+        asked = fixtures.select(F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
+        fits = group_fits(master.select("team_id").unionByName(asked), ["team_id"], budget)
     rows = fixtures
     for side in ("home", "away"):
         rows = asof_latest(
