@@ -66,13 +66,6 @@ def _marginals(df: DataFrame, home: str, away: str, max_goals: int, rho: float)
     )
 
 
-def _cell(i: int, j: int) -> Column:
-    p = F.col(f"_h{i}") * F.col(f"_a{j}")
-    if i <= 1 and j <= 1:
-        p = p + F.col(f"_x{i}{j}")
-    return p / F.col("_mass")
-
-
 def score_matrix(
     df: DataFrame,
     home: str = "home_xg",
@@ -81,17 +74,39 @@ def score_matrix(
     rho: float = LOW_SCORE_RHO,
 ) -> DataFrame:
     """one row per cell ``(home_goals, away_goals, probability)`` of each fixture."""
-    base = _marginals(df, home, away, max_goals, rho)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("home_goals"), F.lit(j).alias("away_goals"), _cell(i, j).alias("probability")
-            )
-            for i in range(max_goals + 1)
-            for j in range(max_goals + 1)
-        ]
+    n = max_goals + 1
+    base = _packed(_marginals(df, home, away, max_goals, rho), df.columns, max_goals)
+    cells = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("_at"))
+    return cells.select(
+        *df.columns,
+        F.floor(F.col("_at") / n).cast("int").alias("home_goals"),
+        (F.col("_at") % n).alias("away_goals"),
+        _packed_cell(F.col("_at"), n).alias("probability"),
+    )
+
+
+def _packed(base: DataFrame, keep, max_goals: int) -> DataFrame:
+    """Marginals as two arrays, for code that goes over the cells by number."""
+    n = max_goals + 1
+    return base.select(
+        *keep,
+        F.array(*[F.col(f"_h{k}") for k in range(n)]).alias("_h"),
+        F.array(*[F.col(f"_a{k}") for k in range(n)]).alias("_a"),
+        "_x00", "_x01", "_x10", "_x11", "_mass",
+    )
+
+
+def _packed_cell(at: Column, n: int) -> Column:
+    """Probability of cell number ``at`` over packed marginals."""
+    extra = (
+        F.when(at == 0, F.col("_x00"))
+        .when(at == 1, F.col("_x01"))
+        .when(at == n, F.col("_x10"))
+        .when(at == n + 1, F.col("_x11"))
+        .otherwise(0.0)
     )
-    return base.select(*df.columns, F.inline(cells))
+    i = F.floor(at / n).cast("int")
+    return (F.get("_h", i) * F.get("_a", at % n) + extra) / F.col("_mass")
 
 
 def market_columns(lines=TOTAL_LINES, team_lines=(), max_goals: int = MAX_GOALS) -> dict[str, Column]:
@@ -144,17 +159,18 @@ def with_markets(
     base = _marginals(df, home, away, max_goals, rho)
     columns = dict(market_columns(team_lines=team_lines, max_goals=max_goals))
     if top_score:
-        # Ties go to the lowest cell, so the negated cell index is second.
-        best = F.array_max(
-            F.array(
-                *[
-                    F.struct(_cell(i, j).alias("p"), F.lit(-(i * (max_goals + 1) + j)).alias("at"))
-                    for i in range(max_goals + 1)
-                    for j in range(max_goals + 1)
-                ]
-            )
+        # Ties go to the lowest cell, so the negated cell number is second.
+        n = max_goals + 1
+        packed = [F.array(*[F.col(f"_{side}{k}") for k in range(n)]).alias(f"_{side}") for side in "ha"]
+        base = base.select("*", *packed).withColumn(
+            "_best",
+            F.array_max(
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(n * n - 1)),
+                    lambda at: F.struct(_packed_cell(at, n).alias("p"), (-at).alias("at")),
+                )
+            ),
         )
-        base = base.withColumn("_best", best)
         index = -F.col("_best.at")
         columns["most_likely_correct_score"] = F.concat_ws(
             "-",

@@ -167,12 +167,13 @@ def stage_mass(probabilities: DataFrame, expected: dict[str, float], tolerance:
     return totals.select(F.inline(F.array(*rows)))
 
 
-def not_monotone(df: DataFrame, ordered_columns: Sequence[str]) -> DataFrame:
-    """Q11: rows where a higher line has a higher over-probability."""
+def monotone(ordered_columns: Sequence[str]) -> RowRule:
+    """Q11: over-probabilities must not rise with the line."""
     pairs = zip(ordered_columns, ordered_columns[1:])
-    return df.where(reduce(lambda a, b: a | b, [_q(hi) > _q(lo) for lo, hi in pairs]))
+    return RowRule("over lines are not monotone", reduce(lambda a, b: a | b, [_q(hi) > _q(lo) for lo, hi in pairs]))
 
 
-def not_summing_to_one(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
-    """Q11: rows whose probabilities do not add up to 1."""
-    return df.where(F.abs(reduce(lambda a, b: a + b, [_q(c) for c in columns]) - 1.0) > tolerance)
+def sums_to_one(columns: Sequence[str], tolerance: float = 1e-9) -> RowRule:
+    """Q11: probabilities of one row must add up to 1."""
+    total = reduce(lambda a, b: a + b, [_q(c) for c in columns])
+    return RowRule("probabilities do not sum to 1", F.abs(total - 1.0) > tolerance)
