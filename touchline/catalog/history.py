@@ -246,7 +246,7 @@ def opponent_form(spark, sf):
     names = [f"rolling_{c}_5" for c in sources]
     rows = rolling_features(played(spark, sf), sources, means=(5,), spread=None, trend=None, rest=None)
     rows = rows.select(*KEY, "team_id", "opponent_id", "result", "points", *[r(c).alias(c) for c in names])
-    return with_opponent(rows, names, check=False)
+    return with_opponent(rows, names, paired=True)
 
 
 FEATURE_SQL = f"""with {TM}, f as (
@@ -299,7 +299,7 @@ def feature_aliases(spark, sf):
     rows = played(spark, sf).withColumn("ALL_Total shots", shots)
     rows = rolling_features(rows, ["ALL_Total shots"], means=(5, 10), spread=None, trend=None, rest=None)
     names = ["rolling_ALL_Total shots_5", "rolling_ALL_Total shots_10"]
-    out = readable_aliases(with_opponent(rows, names, check=False))
+    out = readable_aliases(with_opponent(rows, names, paired=True))
     wanted = [f"{p}rolling_shots_for_{n}" for p in ("", "opponent_") for n in (5, 10)]
     return _rounded(out, wanted)
 

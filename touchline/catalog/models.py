@@ -20,7 +20,7 @@ FEATURES = [*NUMERIC, "competition_type"]
 
 def master(spark, sf):
     rows = rolling_features(playable(team_rows(spark, sf)), SOURCES, means=(5,), spread=None, trend=None)
-    return with_opponent(rows, [f"rolling_{c}_5" for c in SOURCES], check=False)
+    return with_opponent(rows, [f"rolling_{c}_5" for c in SOURCES], paired=True)
 
 
 def home_rows(spark, sf):

@@ -138,7 +138,8 @@ def long_stats(spark, sf):
 
 
 def wide_stats(spark, sf):
-    return statistics_wide(long_stats(spark, sf))
+    # The statistics contract is known, so no extra job has to discover the columns.
+    return statistics_wide(long_stats(spark, sf), features=FEATURES)
 
 
 def _rounded(df, columns, keys=("event_id", "side")):

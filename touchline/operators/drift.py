@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import unix_micros
-from touchline.operators.ordered import ROWS_PER_TASK, exact_quantiles
+from touchline.operators.ordered import ROWS_PER_TASK, exact_quantiles, quantiles_of_counts
 
 # Fixed values of the stability index.
 BINS = 10
@@ -27,10 +27,18 @@ def unpivot_features(df: DataFrame, features: Sequence[str], keep: dict[str, Col
     return tall.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def bin_edges(reference: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK) -> DataFrame:
+def value_counts(tall: DataFrame) -> DataFrame:
+    """Reference and current rows per (feature, value): all later steps need no more."""
+    return tall.groupBy("feature", "value").agg(
+        F.count_if(F.col("is_current")).alias("c"), F.count_if(~F.col("is_current")).alias("r")
+    )
+
+
+def bin_edges(counts: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK, fits: bool | None = None) -> DataFrame:
     """Inner bin edges per feature: distinct quantiles without both ends."""
-    quantiles = exact_quantiles(
-        reference, ["feature"], "value", [i / bins for i in range(bins + 1)], budget=budget
+    quantiles = quantiles_of_counts(
+        counts.where("r > 0"), ["feature"], "value", "r", [i / bins for i in range(bins + 1)],
+        budget=budget, fits=fits,
     )
     edges = F.array_distinct("quantiles")
     return quantiles.select(
@@ -40,25 +48,27 @@ def bin_edges(reference: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TAS
     )
 
 
-def population_stability(tall: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK) -> DataFrame:
-    """Stability index per feature of ``(feature, value, is_current)``.
+def feature_stability(
+    counts: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK, fits: bool | None = None
+) -> DataFrame:
+    """Per feature the rows, both means and the stability index.
 
     Fewer than three edges give 0, an empty side gives null. Values are counted
     per bin before the shuffle; what is joined and collected has one row per
     feature and bin.
     """
-    counts = tall.groupBy("feature", "value", "is_current").agg(F.count(F.lit(1)).alias("_n"))
-    edges = bin_edges(tall.where(~F.col("is_current")), bins, budget)
-    binned = counts.join(edges, "feature").select(
-        "feature", "edges", F.size("inner").alias("_inner"),
-        F.size(F.filter("inner", lambda b: b <= F.col("value"))).alias("bin"),
-        F.when(F.col("is_current"), F.col("_n")).otherwise(0).alias("c"),
-        F.when(F.col("is_current"), 0).otherwise(F.col("_n")).alias("r"),
+    edges = bin_edges(counts, bins, budget, fits)
+    binned = counts.join(edges, "feature", "left").select(
+        "feature", "value", "c", "r", "edges", F.coalesce(F.size("inner"), F.lit(0)).alias("_inner"),
+        F.coalesce(F.size(F.filter("inner", lambda b: b <= F.col("value"))), F.lit(0)).alias("bin"),
+    )
+    per_bin = binned.groupBy("feature", "edges", "_inner", "bin").agg(
+        F.sum("c").alias("c"), F.sum("r").alias("r"),
+        F.sum(F.col("value") * F.col("c")).alias("_vc"), F.sum(F.col("value") * F.col("r")).alias("_vr"),
     )
-    per_bin = binned.groupBy("feature", "edges", "_inner", "bin").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
     # One row per feature with its full list of bins, empty ones included.
     packed = per_bin.groupBy("feature", "edges", "_inner").agg(
-        F.sum("c").alias("_c"), F.sum("r").alias("_r"),
+        F.sum("c").alias("_c"), F.sum("r").alias("_r"), F.sum("_vc").alias("_vc"), F.sum("_vr").alias("_vr"),
         F.map_from_entries(F.collect_list(F.struct("bin", F.struct("c", "r").alias("v")))).alias("_bins"),
     )
 
@@ -76,6 +86,9 @@ def population_stability(tall: DataFrame, bins: int = BINS, budget: int = ROWS_P
     index = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
     return packed.select(
         "feature",
+        (F.col("_c") + F.col("_r")).alias("values"),
+        F.try_divide("_vr", "_r").alias("reference_mean"),
+        F.try_divide("_vc", "_c").alias("current_mean"),
         F.when((F.col("_c") == 0) | (F.col("_r") == 0), F.lit(None).cast("double"))
         .when(F.col("edges") < 3, 0.0)
         .otherwise(index)
@@ -83,6 +96,11 @@ def population_stability(tall: DataFrame, bins: int = BINS, budget: int = ROWS_P
     )
 
 
+def population_stability(tall: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK) -> DataFrame:
+    """Stability index per feature of ``(feature, value, is_current)``."""
+    return feature_stability(value_counts(tall), bins, budget).select("feature", "psi")
+
+
 def time_cutoff(df: DataFrame, time: str = "kickoff_utc", share: float = TIME_SPLIT) -> float:
     """The ``share`` quantile of the time column in microseconds."""
     micros = df.select(unix_micros(time).alias("_at"))
@@ -106,15 +124,15 @@ def drift_report(
     """
     at = unix_micros(time)
     edge = F.lit(time_cutoff(df, time)) if cutoff is None else unix_micros(cutoff)
-    tall = unpivot_features(df.where(at.isNotNull()), features, {"is_current": at >= edge})
-    means = tall.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("_values"),
-        F.avg(F.when(~F.col("is_current"), F.col("value"))).alias("reference_mean"),
-        F.avg(F.when(F.col("is_current"), F.col("value"))).alias("current_mean"),
-    ).where(F.col("_values") >= least)
-    psi = population_stability(tall, bins, budget)
+    timed = df.where(at.isNotNull())
+    # One pass over the columns says which are worth monitoring and how long they are.
+    known = timed.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(features)]).first()
+    monitored = [c for i, c in enumerate(features) if known[f"n{i}"] >= least]
+    fits = True if max(known, default=0) <= budget else None
+    tall = unpivot_features(timed, monitored, {"is_current": at >= edge})
+    report = feature_stability(value_counts(tall), bins, budget, fits)
     return (
-        means.join(psi, "feature", "left")
+        report.where(F.col("values") >= least)
         .select("feature", "reference_mean", "current_mean", "psi")
         .orderBy(F.desc_nulls_last("psi"), "feature")
     )

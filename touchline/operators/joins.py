@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.ordered import ROWS_PER_TASK, carry_last, over_recent, running_totals
@@ -72,14 +72,32 @@ def with_opponent(
     event: str = "event_id",
     team: str = "team_id",
     opponent: str = "opponent_id",
-    check: bool = True,
+    paired: bool = False,
 ) -> DataFrame:
-    """Attach the opponent's own columns of the same event."""
+    """Attach the opponent's own columns of the same event.
+
+    In general this is a checked self join. ``paired`` rows come straight from
+    the two-sided expansion, so an event has exactly two of them: the other one
+    is the neighbour within the event, which needs one shuffle instead of two
+    and computes the rows once.
+    """
+    if paired:
+        pair = Window.partitionBy(event).orderBy(team)
+        mine = F.struct(F.col(team).alias("_team"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+        packed = rows.select("*", mine.alias("_mine"))
+        other = packed.select(
+            *[F.col(f"`{c}`") for c in rows.columns],
+            F.coalesce(F.lag("_mine").over(pair), F.lead("_mine").over(pair)).alias("_other"),
+        )
+        meant = F.col("_other._team") == F.col(opponent)
+        return other.select(
+            *[F.col(f"`{c}`") for c in rows.columns],
+            *[F.when(meant, F.col(f"_other.c{i}")).alias(name(c)) for i, c in enumerate(columns)],
+        )
     theirs = rows.select(
         F.col(event), F.col(team).alias(opponent), *[F.col(f"`{c}`").alias(name(c)) for c in columns]
     )
-    if check:
-        require_unique(theirs.select(event, opponent), [event, opponent], "opponent rows")
+    require_unique(theirs.select(event, opponent), [event, opponent], "opponent rows")
     return rows.join(theirs, [event, opponent], "left").select(
         *[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"`{name(c)}`") for c in columns]
     )

@@ -28,14 +28,15 @@ ROWS_PER_TASK = 4_000_000
 def group_fits(df: DataFrame, group: Sequence[str], budget: int = ROWS_PER_TASK) -> bool:
     """True when no group of ``df`` has more than ``budget`` rows.
 
-    Counts are combined map-side; one number reaches the driver.
+    A plain row count settles most cases; only beyond it rows are counted per
+    group, combined map-side. One number reaches the driver either way.
     """
+    if df.count() <= budget:
+        return True
     if group:
         counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        largest = counts.agg(F.max("_n")).first()[0]
-    else:
-        largest = df.count()
-    return (largest or 0) <= budget
+        return (counts.agg(F.max("_n")).first()[0] or 0) <= budget
+    return False
 
 
 def slice_count(df: DataFrame, budget: int) -> int:
@@ -245,20 +246,37 @@ def exact_quantiles(
     Works on counts per distinct value and running counts, so neither one task
     nor a hash map has to hold a group's values.
     """
-    group = list(group)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    return quantiles_of_counts(counts, group, value, "_n", probabilities, budget=budget, fits=fits)
+
+
+def quantiles_of_counts(
+    counts: DataFrame,
+    group: Sequence[str],
+    value: str,
+    weight: str,
+    probabilities: Sequence[float],
+    *,
+    budget: int = ROWS_PER_TASK,
+    fits: bool | None = None,
+) -> DataFrame:
+    """Exact quantiles of values given once each with their number of rows."""
+    group = list(group)
+    fits = group_fits(counts, group, budget) if fits is None else fits
     ranked = running_totals(
-        counts, group, [value], {"_upto": F.col("_n")}, budget=budget, fits=fits
+        counts.select(*group, value, weight), group, [value], {"_upto": F.col(weight)}, budget=budget, fits=fits
     )
-    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
-    if group:
+    if fits:
+        ranked = ranked.withColumn("_size", F.max("_upto").over(Window.partitionBy(*group)))
+    elif group:
+        sizes = ranked.groupBy(*group).agg(F.max("_upto").alias("_size"))
         ranked = ranked.join(sizes, group)
     else:
-        ranked = ranked.withColumn("_size", F.lit(sizes.first()[0]).cast("bigint"))
+        ranked = ranked.withColumn("_size", F.lit(ranked.agg(F.max("_upto")).first()[0]))
     picks = []
     for i, p in enumerate(probabilities):
         place = (F.col("_size") - 1) * F.lit(float(p))

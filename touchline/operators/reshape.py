@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.scalars import fraction_part, ratio, safe_numeric
+from touchline.functions.scalars import FRACTION_PATTERN, ratio, safe_numeric
 from touchline.operators.sets import keep_first
 
 # Pivots turn values into columns; more than this is not a column list any more.
@@ -49,16 +49,18 @@ def statistics_values(long: DataFrame, order: Sequence[str] = ("ordinal",)) -> D
         F.concat_ws("_", "period", "stat_name").alias("stat"),
         F.inline(F.array(side("home"), side("away"))),
     )
-    is_fraction = fraction_part("raw", 1).isNotNull()
+    # All three numbers of a fraction from one match.
+    numbers = F.split(F.regexp_replace("raw", FRACTION_PATTERN, "$1|$2|$3"), r"\|")
+    rows = rows.select("*", F.when(F.col("raw").rlike(FRACTION_PATTERN), numbers).alias("_n"))
     has_total = F.col("total").isNotNull() & F.col("numeric").isNotNull()
 
     def part(suffix: str, value: Column) -> Column:
         return F.struct(F.concat("stat", F.lit(suffix)).alias("feature"), value.alias("value"))
 
     split = F.array(
-        part("_won", fraction_part("raw", 1)),
-        part("_total", fraction_part("raw", 2)),
-        part("_pct", fraction_part("raw", 3) / 100),
+        part("_won", F.col("_n")[0].cast("double")),
+        part("_total", F.col("_n")[1].cast("double")),
+        part("_pct", F.col("_n")[2].cast("double") / 100),
     )
     counted = F.array(
         part("_won", F.col("numeric")),
@@ -66,7 +68,7 @@ def statistics_values(long: DataFrame, order: Sequence[str] = ("ordinal",)) -> D
         part("_pct", ratio("numeric", "total")),
     )
     single = F.array(part("", safe_numeric("raw")))
-    parts = F.when(is_fraction, split).when(has_total, counted).otherwise(single)
+    parts = F.when(F.col("_n").isNotNull(), split).when(has_total, counted).otherwise(single)
     return rows.select("event_id", "side", F.inline(parts))
 
 
@@ -74,7 +76,11 @@ def statistics_wide(long: DataFrame, order: Sequence[str] = ("ordinal",), featur
     """One row per (event, side), one numeric column per statistic."""
     values = statistics_values(long, order)
     features = pivot_values(values, "feature") if features is None else list(features)
-    return values.groupBy("event_id", "side").pivot("feature", features).agg(F.first("value", ignorenulls=True))
+    # A feature occurs once per row of the result, so its maximum is its value; plain
+    # conditional aggregates combine map-side in a hash aggregate.
+    return values.groupBy("event_id", "side").agg(
+        *[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features]
+    )
 
 
 def melt_pivot(

@@ -177,7 +177,7 @@ def feature_master(
         base = base.withColumn("confederation_matchup", matchup("team_confederation", "opponent_confederation"))
     sources = [*present(base, ["goals_for", "goals_against", "goal_difference"]), *stat_columns]
     if stat_columns:
-        base = with_opponent(base, stat_columns, lambda c: f"against_{c}", check=False)
+        base = with_opponent(base, stat_columns, lambda c: f"against_{c}", paired=True)
         sources += [f"against_{c}" for c in stat_columns]
     fits = group_fits(team_rows, ["team_id"], budget)
     flagged = base if "has_statistics" in base.columns else base.withColumn("has_statistics", F.lit(False))
@@ -191,7 +191,7 @@ def feature_master(
     if with_ewm:
         out = ewm_features(out, sources, order=order, budget=budget, fits=fits)
     shared = [c for c in out.columns if c.startswith(("rolling_", "ewm_", "trend_"))]
-    return with_opponent(out, shared, check=False)
+    return with_opponent(out, shared, paired=True)
 
 
 def leakage_safe(master: DataFrame, targets: bool = False) -> DataFrame:

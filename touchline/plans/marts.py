@@ -63,7 +63,7 @@ def dim_venues(details: DataFrame) -> DataFrame:
 
 def stats_for_against(stats: DataFrame, columns: dict[str, str] = AGAINST_COLUMNS) -> DataFrame:
     """Statistics with the opponent's figures of the same event."""
-    return with_opponent(stats, list(columns), lambda c: columns[c], check=False)
+    return with_opponent(stats, list(columns), lambda c: columns[c])
 
 
 def match_context(matches: DataFrame) -> DataFrame:
