@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,12 @@ def bin_edges(counts: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK,
     )
 
 
+def _bin(value: str, bins: int) -> Column:
+    """Number of inner edges at or below the value; plain comparisons stay in codegen."""
+    at = [F.coalesce((F.get("inner", F.lit(i)) <= F.col(value)).cast("int"), F.lit(0)) for i in range(max(bins - 1, 1))]
+    return reduce(lambda a, b: a + b, at)
+
+
 def feature_stability(
     counts: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK, fits: bool | None = None
 ) -> DataFrame:
@@ -60,7 +67,7 @@ def feature_stability(
     edges = bin_edges(counts, bins, budget, fits)
     binned = counts.join(edges, "feature", "left").select(
         "feature", "value", "c", "r", "edges", F.coalesce(F.size("inner"), F.lit(0)).alias("_inner"),
-        F.coalesce(F.size(F.filter("inner", lambda b: b <= F.col("value"))), F.lit(0)).alias("bin"),
+        _bin("value", bins).alias("bin"),
     )
     per_bin = binned.groupBy("feature", "edges", "_inner", "bin").agg(
         F.sum("c").alias("c"), F.sum("r").alias("r"),

@@ -189,7 +189,7 @@ def link_fixtures(
         F.concat(F.lit("no team history for: "), names),
     )
     usable = F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull() & F.col("_problem").isNull()
-    ok, rejected = split_supported(context.drop("reject_reason").withColumn("_reason", reason), usable, F.col("_reason"))
+    ok, rejected = split_supported(context.withColumn("_reason", reason).drop("reject_reason"), usable, F.col("_reason"))
     # Neutral ground is derived again now that both countries are known.
     return _with_neutral(ok).drop("_problem", "_reason"), rejected.select(url, "event_id", "reject_reason")
 
