@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.catalog.base import FX, MT, TM, fixtures, matches, query, r, table, team_rows
 from touchline.operators import aggregates as agg
 from touchline.operators.drift import drift_report
+from touchline.operators.joins import bracket_teams
 from touchline.operators.ordered import exact_quantiles
 from touchline.operators.split import chronological_split
 from touchline.plans.marts import distinct_dimension
@@ -432,3 +433,20 @@ def refetch_rows(spark, sf):
     return joined.where(F.col("o_orderdate").isNull() | (F.col("o_orderdate") >= F.col("cutoff"))).select(
         F.col("o_orderkey").alias("event_id")
     )
+
+
+@query(
+    "bracket_teams",
+    f"""with {STAND}, slots as (select distinct '1' || cast(g.n as varchar) as home_ref, '2' || cast((g.n + 1) % 12 as varchar) as away_ref
+      from (select "group" as n from rk) g)
+    select home_ref, away_ref, h.team_id as home_team_id, a.team_id as away_team_id from slots
+      left join rk h on cast(h.position as varchar) || cast(h."group" as varchar) = home_ref
+      left join rk a on cast(a.position as varchar) || cast(a."group" as varchar) = away_ref""",
+)
+def bracket_teams_query(spark, sf):
+    ranked = agg.rank_group(standings(spark, sf))
+    slots = ranked.select(
+        F.concat(F.lit("1"), F.col("group").cast("string")).alias("home_ref"),
+        F.concat(F.lit("2"), ((F.col("group") + 1) % 12).cast("string")).alias("away_ref"),
+    ).distinct()
+    return bracket_teams(slots, ranked).select("home_ref", "away_ref", "home_team_id", "away_team_id")

@@ -222,21 +222,20 @@ def asof_latest(
     picked = F.struct(F.col(tie), *[F.col(f"`{c}`").alias(n) for c, n in columns.items()])
     past = history.select(
         F.col(key[1]).alias("_key"), F.col(time).alias("_at"), F.lit(1).alias("_kind"),
-        F.col(tie).cast("string").alias("_tie"), picked.alias("_row"), F.col(tie).alias("_event"),
+        picked.alias("_row"), F.col(tie).alias("_event"),
     ).where(F.col("_at").isNotNull())
     numbered = probes.withColumn("_probe", F.struct(*[F.col(f"`{c}`") for c in probes.columns]))
     asked = numbered.select(
         F.col(key[0]).alias("_key"),
         # An unknown time means "as of now": after everything.
         F.coalesce(F.col(at), F.lit("9999-12-31 00:00:00").cast(history.schema[time].dataType)).alias("_at"),
-        F.lit(0).alias("_kind"),
-        F.xxhash64(F.to_json("_probe")).cast("string").alias("_tie"), "_probe",
+        F.lit(0).alias("_kind"), "_probe",
     )
     past = past.withColumn("_probe", F.lit(None).cast(asked.schema["_probe"].dataType))
     asked = asked.withColumn("_row", F.lit(None).cast(past.schema["_row"].dataType)).withColumn(
         "_event", F.lit(None).cast(past.schema["_event"].dataType)
     )
-    order = ["_at", "_kind", "_event", "_tie"]
+    order = ["_at", "_kind", "_event"]
     carried = F.col("_row")
     if exclude is not None:
         # A history row brings the one before it, in case it is the excluded one.
@@ -322,6 +321,20 @@ def first_available(live: DataFrame, cached: DataFrame, key: str, value: str) ->
     )
 
 
+def bracket_teams(slots: DataFrame, ranked: DataFrame, group: str = "group", team: str = "team_id") -> DataFrame:
+    """Resolve bracket references such as ``1A`` (place, group) to teams.
+
+    ``slots`` has ``home_ref`` and ``away_ref``; a reference without a team
+    stays null.
+    """
+    out = slots
+    for side in ("home", "away"):
+        label = F.concat(F.col("position").cast("string"), F.col(group).cast("string"))
+        places = ranked.select(label.alias(f"{side}_ref"), F.col(team).alias(f"{side}_team_id"))
+        out = out.join(places, f"{side}_ref", "left")
+    return out
+
+
 def split_supported(rows: DataFrame, supported: Column, reason: Column) -> tuple[DataFrame, DataFrame]:
     """Accepted rows and rejects with a reason."""
     ok = F.coalesce(supported, F.lit(False))

@@ -82,7 +82,7 @@ def fold_ratings(
     steps = steps.withColumn(
         "_step", F.row_number().over(Window.partitionBy("pool").orderBy(SLICE))
     )
-    staged = cut_lineage(sliced.join(F.broadcast(steps), ["pool", SLICE]).drop(SLICE))
+    staged = cut_lineage(sliced.join(steps, ["pool", SLICE]).drop(SLICE))
     last = staged.agg(F.max("_step")).first()[0]
     done: list[DataFrame] = []
     state = prepared.sparkSession.createDataFrame(
