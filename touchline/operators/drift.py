@@ -37,8 +37,11 @@ def value_counts(tall: DataFrame) -> DataFrame:
 
 def bin_edges(counts: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK, fits: bool | None = None) -> DataFrame:
     """Inner bin edges per feature: distinct quantiles without both ends."""
+    # Reading both counts keeps this branch's aggregate equal to the one that is
+    # binned later, so Spark shuffles and counts the values once for both.
+    seen = counts.where((F.col("r") > 0) & (F.col("c") >= 0))
     quantiles = quantiles_of_counts(
-        counts.where("r > 0"), ["feature"], "value", "r", [i / bins for i in range(bins + 1)],
+        seen, ["feature"], "value", "r", [i / bins for i in range(bins + 1)],
         budget=budget, fits=fits,
     )
     edges = F.array_distinct("quantiles")
