@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
 import tempfile
 import uuid
 
@@ -24,9 +26,18 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    _importable(spark.sparkContext)
     return spark
 
 
+def _importable(context) -> None:
+    """Python workers started from another folder find this package where the driver found it."""
+    root = str(pathlib.Path(__file__).resolve().parents[1])
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        context.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str = "touchline"):
     """A session for tests and the benchmark on one machine."""
     spark = (
@@ -46,13 +57,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's own checkpoint folder.
 
-    Only where the cluster names none (tests, one machine) a fresh folder is
-    made and set for the session.
+    Only a local master may do without (tests, one machine): a fresh folder is
+    made and set for the session there. A cluster without one is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current is None:
+        if configured is None and not (context.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="touchline-"))
         current = context.getCheckpointDir()
     return configured or current
