@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import packing, pieces, quality_rules
+from touchline.llm import near_dedup, packing, pieces, quality_rules
 from touchline.session import configure
 
 QUERIES = {}
@@ -102,3 +102,9 @@ def packed_rows(spark, sf):
     import public_tokenizers
 
     return packing.pack(table(spark, sf, "documents"), tokenizer(RANKS), public_tokenizers.PATTERN)
+
+
+@query("op6_near_dedup")
+def near_duplicate_groups(spark, sf):
+    """Component of near copies of every document."""
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), percent=85)
