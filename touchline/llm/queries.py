@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import near_dedup, packing, pieces, quality_rules
+from touchline.llm import near_dedup, packing, pieces, quality_rules, suffixes
 from touchline.session import configure
 
 QUERIES = {}
@@ -108,3 +108,14 @@ def packed_rows(spark, sf):
 def near_duplicate_groups(spark, sf):
     """Component of near copies of every document."""
     return near_dedup.near_duplicates(table(spark, sf, "documents"), percent=85)
+
+
+@query("op3_suffix_dedup")
+def repeated_passages(spark, sf):
+    """What is left of every text without the strings of 200 bytes that occur elsewhere."""
+    docs = suffixes.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
