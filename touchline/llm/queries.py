@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import near_dedup, packing, pieces, quality_rules, suffixes
+from touchline.llm import near_dedup, packing, pieces, quality_rules, ranker, suffixes, toxicity
 from touchline.session import configure
 
 QUERIES = {}
@@ -119,3 +119,15 @@ def repeated_passages(spark, sf):
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op2_toxicity")
+def toxicity_scores(spark, sf):
+    """Toxicity of every text."""
+    return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op8_quality_ranker")
+def quality_scores(spark, sf):
+    """Quality of every text."""
+    return ranker.rank_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))

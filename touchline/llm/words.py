@@ -18,8 +18,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses modulo 2**64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers = np.ones(1, dtype=U64), np.ones(1, dtype=U64)
 
 
@@ -73,7 +73,7 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_SPACE[data]
     before = np.empty_like(inside)
     before[:1] = False
@@ -91,7 +91,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     """A 64-bit hash of each span of ``data``; equal bytes give equal hashes."""
     forward, back = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=U64)
-    values = (_LOWER[data] if lower else data).astype(U64)
+    values = (LOWER[data] if lower else data).astype(U64)
     values += U64(1)
     values *= forward[: len(data)]
     np.cumsum(values, out=total[1:])
@@ -116,14 +116,14 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> t
                     break
                 cut = min(end, cut + SLICE_BYTES)
             part = data[at:cut]
-            starts, ends = _spans(part, np.array([0, len(part)]))
+            starts, ends = spans(part, np.array([0, len(part)]))
             parts.append(hash_spans(part, starts, ends, lower))
             at = cut
         hashes = np.concatenate(parts)
         return hashes, np.array([0, len(hashes)])
     if not len(data):
         return np.zeros(0, dtype=U64), np.zeros(n + 1, dtype=np.int64)
-    starts, ends = _spans(data, offsets)
+    starts, ends = spans(data, offsets)
     return hash_spans(data, starts, ends, lower), np.searchsorted(starts, offsets)
 
 
