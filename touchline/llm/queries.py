@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import near_dedup, packing, pieces, quality_rules, ranker, suffixes, toxicity
+from touchline.llm import chat, near_dedup, packing, pieces, quality_rules, ranker, suffixes, toxicity
 from touchline.session import configure
 
 QUERIES = {}
@@ -131,3 +131,9 @@ def toxicity_scores(spark, sf):
 def quality_scores(spark, sf):
     """Quality of every text."""
     return ranker.rank_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op4_chat_format")
+def repaired_chats(spark, sf):
+    """Every turn with its repair and its piece of the rendered conversation."""
+    return chat.format_chats(table(spark, sf, "conversations"))
