@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import chat, near_dedup, packing, pieces, quality_rules, ranker, suffixes, toxicity
+from touchline.llm import chat, decontaminate, near_dedup, packing, pieces, quality_rules, ranker, suffixes, toxicity
 from touchline.session import configure
 
 QUERIES = {}
@@ -137,3 +137,13 @@ def quality_scores(spark, sf):
 def repaired_chats(spark, sf):
     """Every turn with its repair and its piece of the rendered conversation."""
     return chat.format_chats(table(spark, sf, "conversations"))
+
+
+@query("op7_decontaminate")
+def benchmark_leaks(spark, sf):
+    """Benchmark items found in every text."""
+    found = decontaminate.find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "contaminated", F.array_sort(F.array_distinct("matches.item_id")).alias("item_ids"),
+        F.array_max("matches.common").alias("common"),
+    )
