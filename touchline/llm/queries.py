@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import chat, decontaminate, near_dedup, packing, pieces, quality_rules, ranker, suffixes, toxicity
+from touchline.llm import attention, chat, decontaminate, near_dedup, packing, pieces, quality_rules, ranker, suffixes, toxicity
 from touchline.session import configure
 
 QUERIES = {}
@@ -147,3 +147,11 @@ def benchmark_leaks(spark, sf):
         "doc_id", "contaminated", F.array_sort(F.array_distinct("matches.item_id")).alias("item_ids"),
         F.array_max("matches.common").alias("common"),
     )
+
+
+@query("op10_attention_scores")
+def language_model_scores(spark, sf):
+    """Word-count and attention-model log10 probability of every text."""
+    import public_tokenizers
+
+    return attention.score_texts(table(spark, sf, "documents"), tokenizer(RANKS), public_tokenizers.PATTERN)
