@@ -27,7 +27,6 @@ HEADLINE = [
     "feature_master",
     "ewm",
     "congestion_teams",
-    "elo_history",
     "asof_latest",
     "interval_count",
     "fixture_features",
@@ -38,6 +37,11 @@ HEADLINE = [
     "markets",
     "drift_report",
     "quality_report",
+    "quarantine_issues",
+    "melt_and_clean",
+    "spearman",
+    "psi",
+    "stream_dedupe",
     "coverage_extended",
     "chrono_split",
 ]

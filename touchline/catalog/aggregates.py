@@ -372,9 +372,17 @@ def shape_inventory(spark, sf):
     return agg.shape_inventory({n: table(spark, sf, n) for n in ("orders", "lineitem", "events")})
 
 
-@query("dataset_version")
+@query(
+    "dataset_version",
+    """with t as (select to_json({'c0': cast(o_orderkey as varchar), 'c1': cast(o_custkey as varchar), 'c2': o_orderstatus,
+      'c3': o_orderpriority, 'c4': case when o_orderkey % 3 = 0 then o_orderstatus end}) as j from orders),
+    s as (select sum(cast('0x' || substr(md5(cast(j as varchar)), 1, 15) as bigint)::hugeint) as s, count(*) as n from t)
+    select substr(sha256(cast(s as varchar) || '|' || cast(n as varchar)
+      || '|o_orderkey,o_custkey,o_orderstatus,o_orderpriority,sometimes'), 1, 16) as dataset_version from s""",
+)
 def dataset_version(spark, sf):
-    return agg.dataset_version(table(spark, sf, "lineitem"))
+    orders = table(spark, sf, "orders").withColumn("sometimes", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")))
+    return agg.dataset_version(orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "sometimes"])
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.catalog.base import MT, TM, matches, query, r, table, team_rows
+from touchline.catalog.base import TM, matches, query, r, table, team_rows
 from touchline.operators.ewm import ewm_features
 from touchline.operators.history import (
     count_recent,
@@ -16,7 +16,6 @@ from touchline.operators.history import (
 )
 from touchline.operators.joins import with_opponent
 from touchline.operators.perspective import playable
-from touchline.operators.ratings import elo_history, elo_legacy
 from touchline.plans.features import feature_master, leakage_safe, readable_aliases
 
 KEY = ["event_id", "side"]
@@ -274,7 +273,7 @@ FEATURE_SQL = f"""with {TM}, f as (
 
 @query("feature_master", FEATURE_SQL)
 def feature_master_query(spark, sf):
-    master = feature_master(team_rows(spark, sf), matches(spark, sf), with_elo=False, with_ewm=False)
+    master = feature_master(team_rows(spark, sf), matches(spark, sf), with_ewm=False)
     safe = leakage_safe(master)
     numbers = [c for c in safe.columns if c.startswith(("rolling_", "opponent_rolling_", "trend_"))]
     return safe.select(
@@ -315,88 +314,3 @@ def rolling_assert(spark, sf):
     return flagged.agg(
         F.count_if(F.col("bad") == 1).alias("mismatches"), F.count_if(F.col("bad") == 0).alias("rows")
     )
-
-
-def rating_sql(importance: str, advantage: str, tail: str) -> str:
-    """Oracle of a rating fold: one ordered list reduction over all matches."""
-    expected = "1 / (1 + pow(10.0, (acc.rt[x.a + 1] - acc.rt[x.h + 1] - x.adv) / 400))"
-    delta = f"x.k * (x.s - {expected})"
-    empty = "'rt': []::double[], 'outs': []::double[]"
-    return f"""with {MT}, seq as (
-      select event_id, home_team_id as h, away_team_id as a, kickoff_utc, training_eligible,
-        row_number() over (order by kickoff_utc, event_id) as n, cast({advantage} as double) as adv,
-        case when training_eligible then cast({importance} as double) else 0.0 end as k,
-        case when home_score > away_score then 1.0::double when home_score = away_score then 0.5 else 0.0 end as s
-      from mt),
-    folded as (select list_reduce(list_prepend(
-        {{'h': 0::bigint, 'a': 0::bigint, 'adv': 0.0::double, 'k': 0.0::double, 's': 0.0::double,
-          'rt': list_transform(range(48), lambda z: 1500.0::double), 'outs': []::double[]}},
-        list({{'h': h, 'a': a, 'adv': adv, 'k': k, 's': s, {empty}}} order by n)),
-      lambda acc, x: {{'h': x.h, 'a': x.a, 'adv': x.adv, 'k': x.k, 's': x.s,
-        'rt': list_transform(acc.rt, lambda v, i: case when i = x.h + 1 then v + {delta}
-          when i = x.a + 1 then v - {delta} else v end),
-        'outs': list_concat(acc.outs, [acc.rt[x.h + 1], acc.rt[x.a + 1]])}}).outs as o from seq),
-    pre as (select generate_subscripts(o, 1) as i, unnest(o) as v from folded),
-    pairs as (select (i + 1) // 2 as n, max(case when i % 2 = 1 then v end) as hp,
-        max(case when i % 2 = 0 then v end) as ap from pre group by 1),
-    j as (select seq.*, hp, ap, 1 / (1 + pow(10.0, (ap - hp - adv) / 400)) as e from seq join pairs using (n)),
-    k as (select *, k * (s - e) as d from j)
-    {tail}"""
-
-
-ELO_SQL = rating_sql(
-    """case competition_type when 'friendly' then 10 when 'nations_league' then 20
-        when 'world_cup_qualifier' then 30 when 'continental_championship' then 40 else 50 end
-      * case when abs(home_score - away_score) <= 1 then 1.0 when abs(home_score - away_score) = 2 then 1.5
-          else (11 + abs(home_score - away_score)) / 8.0 end""",
-    "case when neutral_site = 1 then 0 else 55 end",
-    """select event_id, 'home' as side, h as team_id, a as opponent_id, round(hp, 4) as elo_pre,
-        round(ap, 4) as opponent_elo_pre, round(hp + d, 4) as elo_post, round(e, 6) as elo_expected_score,
-        round(hp - ap, 4) as elo_difference from k
-      union all select event_id, 'away', a, h, round(ap, 4), round(hp, 4), round(ap - d, 4), round(1 - e, 6),
-        round(ap - hp, 4) from k""",
-)
-
-
-@query("elo_history", ELO_SQL)
-def elo_history_query(spark, sf):
-    out = elo_history(matches(spark, sf))
-    fours = ["elo_pre", "opponent_elo_pre", "elo_post", "elo_difference"]
-    return out.select(
-        *KEY, "team_id", "opponent_id", *[r(c, 4).alias(c) for c in fours],
-        r("elo_expected_score").alias("elo_expected_score"),
-    )
-
-
-LEGACY_SQL = rating_sql(
-    "20",
-    "case when neutral_site = 0 then 60 else 0 end",
-    """, team as (
-        select n, event_id, 'home' as side, h as team, a as other, hp as me, ap as them,
-          case when training_eligible then d end as change from k
-        union all select n, event_id, 'away', a, h, ap, hp, case when training_eligible then -d end from k),
-      c as (select *, last_value(change ignore nulls) over (partition by team order by n
-          rows between unbounded preceding and 1 preceding) as before from team)
-    select a.event_id, a.side, round(a.me, 4) as team_elo_pre, round(a.them, 4) as opponent_elo_pre,
-      round(a.me - a.them, 4) as elo_difference, round(a.before, 4) as team_elo_change_previous_match,
-      round(b.before, 4) as opponent_elo_change_previous_match
-    from c a join c b on a.event_id = b.event_id and a.side <> b.side""",
-)
-
-
-@query("elo_legacy", LEGACY_SQL)
-def elo_legacy_query(spark, sf):
-    m = matches(spark, sf)
-    home = F.concat(F.lit("Team "), F.col("home_team_id").cast("string"))
-    rows = m.select(
-        "event_id", F.col("kickoff_utc").alias("date"),
-        F.explode(F.array(F.lit("home"), F.lit("away"))).alias("side"),
-        home.alias("home_team"), F.concat(F.lit("Team "), F.col("away_team_id").cast("string")).alias("away_team"),
-        "home_score", "away_score", F.when(F.col("neutral_site") == 0, F.lower(home)).alias("venue_country_normalized"),
-    )
-    out = elo_legacy(rows)
-    fours = [
-        "team_elo_pre", "opponent_elo_pre", "elo_difference", "team_elo_change_previous_match",
-        "opponent_elo_change_previous_match",
-    ]
-    return out.select(*KEY, *[r(c, 4).alias(c) for c in fours])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.catalog.base import fixtures, query, team_rows
-from touchline.functions.odds import rating_outcome
 from touchline.operators.history import rolling_features
 from touchline.operators.perspective import playable, with_competition
 from touchline.operators.split import chronological_split
@@ -42,11 +41,8 @@ def blend_grid(spark, sf):
     split = chronological_split(home_rows(spark, sf)).persist()
     train, validation = split.where("split = 'train'"), split.where("split = 'validation'")
     scored = m.score_outcome(m.fit_outcome(train, FEATURES), validation, FEATURES)
-    rated = scored.select(
-        "result", *[f"probability_{n}" for n in m.LABELS],
-        *[c.alias(f"elo_{n}") for n, c in rating_outcome(F.lit(0.5) + F.col("rolling_goal_difference_5") / 20).items()],
-    )
-    return m.blend_losses(rated, "elo_", "probability_")
+    both = m.score_boosted(m.fit_boosted_outcome(train, FEATURES), scored, FEATURES)
+    return m.blend_losses(both, "boosted_", "probability_")
 
 
 @query("poisson_glm")
@@ -63,7 +59,7 @@ def count_market(spark, sf):
 @query("feature_importances")
 def feature_importances(spark, sf):
     train = home_rows(spark, sf)
-    return m.feature_importances(m.fit_tree_outcome(train, NUMERIC, trees=10), train, NUMERIC)
+    return m.feature_importances(m.fit_tree_outcome(train, FEATURES), train, FEATURES)
 
 
 @query("score_fixtures")

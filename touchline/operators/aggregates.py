@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import _col
-from touchline.operators.ordered import ROWS_PER_TASK, running_totals
+from touchline.operators.ordered import running_totals
 
 
 def _q(name: str) -> Column:
@@ -126,7 +126,7 @@ def redundancy(df: DataFrame, pairs: Sequence[tuple[str, str]] = tuple(REDUNDANT
     )
 
 
-def spearman(df: DataFrame, left: str, right: str, budget: int = ROWS_PER_TASK) -> DataFrame:
+def spearman(df: DataFrame, left: str, right: str, bounded: bool = False) -> DataFrame:
     """Spearman correlation with tied ranks averaged; null below two rows.
 
     Ranks come from running counts of distinct values, so no task sorts the
@@ -136,7 +136,7 @@ def spearman(df: DataFrame, left: str, right: str, budget: int = ROWS_PER_TASK)
 
     def ranks(column: str, out: str) -> DataFrame:
         counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-        upto = running_totals(counts, [], [column], {"_upto": F.col("_n")}, budget=budget)
+        upto = running_totals(counts, [], [column], {"_upto": F.col("_n")}, bounded=bounded)
         return upto.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
 
     ranked = rows.groupBy("_l", "_r").agg(F.count(F.lit(1)).alias("_w"))
@@ -301,10 +301,12 @@ def shape_inventory(datasets: dict[str, DataFrame]) -> DataFrame:
 def dataset_version(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """16-hex digest of the content and the ordered column names.
 
+    A row is its JSON text with nulls written out, so a null and its place count.
     Row hashes are summed, so the digest does not depend on row order.
     """
     columns = list(columns or df.columns)
-    row = F.xxhash64(*[_q(c) for c in columns]).cast("decimal(38,0)")
+    text = F.to_json(F.struct(*[_q(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
+    row = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.sum(row).alias("_sum"), F.count(F.lit(1)).alias("_rows")).select(
         F.substring(
             F.sha2(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import unix_micros
-from touchline.operators.ordered import ROWS_PER_TASK, exact_quantiles, quantiles_of_counts
+from touchline.operators.ordered import exact_quantiles, quantiles_of_counts
 
 # Fixed values of the stability index.
 BINS = 10
@@ -35,14 +35,14 @@ def value_counts(tall: DataFrame) -> DataFrame:
     )
 
 
-def bin_edges(counts: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK, fits: bool | None = None) -> DataFrame:
+def bin_edges(counts: DataFrame, bins: int = BINS, bounded: bool = False) -> DataFrame:
     """Inner bin edges per feature: distinct quantiles without both ends."""
     # Reading both counts keeps this branch's aggregate equal to the one that is
     # binned later, so Spark shuffles and counts the values once for both.
     seen = counts.where((F.col("r") > 0) & (F.col("c") >= 0))
     quantiles = quantiles_of_counts(
         seen, ["feature"], "value", "r", [i / bins for i in range(bins + 1)],
-        budget=budget, fits=fits,
+        bounded=bounded,
     )
     edges = F.array_distinct("quantiles")
     return quantiles.select(
@@ -59,7 +59,7 @@ def _bin(value: str, bins: int) -> Column:
 
 
 def feature_stability(
-    counts: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK, fits: bool | None = None
+    counts: DataFrame, bins: int = BINS, bounded: bool = False
 ) -> DataFrame:
     """Per feature the rows, both means and the stability index.
 
@@ -67,7 +67,7 @@ def feature_stability(
     per bin before the shuffle; what is joined and collected has one row per
     feature and bin.
     """
-    edges = bin_edges(counts, bins, budget, fits)
+    edges = bin_edges(counts, bins, bounded)
     binned = counts.join(edges, "feature", "left").select(
         "feature", "value", "c", "r", "edges", F.coalesce(F.size("inner"), F.lit(0)).alias("_inner"),
         _bin("value", bins).alias("bin"),
@@ -106,9 +106,9 @@ def feature_stability(
     )
 
 
-def population_stability(tall: DataFrame, bins: int = BINS, budget: int = ROWS_PER_TASK) -> DataFrame:
+def population_stability(tall: DataFrame, bins: int = BINS, bounded: bool = False) -> DataFrame:
     """Stability index per feature of ``(feature, value, is_current)``."""
-    return feature_stability(value_counts(tall), bins, budget).select("feature", "psi")
+    return feature_stability(value_counts(tall), bins, bounded).select("feature", "psi")
 
 
 def time_cutoff(df: DataFrame, time: str = "kickoff_utc", share: float = TIME_SPLIT) -> float:
@@ -125,7 +125,7 @@ def drift_report(
     cutoff: Column | None = None,
     bins: int = BINS,
     least: int = LEAST_VALUES,
-    budget: int = ROWS_PER_TASK,
+    bounded: bool = False,
 ) -> DataFrame:
     """Means before and after the cutoff and the stability index per feature.
 
@@ -138,9 +138,8 @@ def drift_report(
     # One pass over the columns says which are worth monitoring and how long they are.
     known = timed.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(features)]).first()
     monitored = [c for i, c in enumerate(features) if known[f"n{i}"] >= least]
-    fits = True if max(known, default=0) <= budget else None
     tall = unpivot_features(timed, monitored, {"is_current": at >= edge})
-    report = feature_stability(value_counts(tall), bins, budget, fits)
+    report = feature_stability(value_counts(tall), bins, bounded)
     return (
         report.where(F.col("values") >= least)
         .select("feature", "reference_mean", "current_mean", "psi")

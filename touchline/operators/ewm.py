@@ -18,10 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.operators.ordered import ROWS_PER_TASK, SLICE, cut, group_fits
-
-# (1-a)^gap is 0.0 in double precision well before this many rows.
-LONGEST_GAP = 4_000
+from touchline.operators.ordered import SLICE, cut
 
 
 def _blocks(frames: Iterator[pd.DataFrame], keys: list[str]):
@@ -41,74 +38,50 @@ def _blocks(frames: Iterator[pd.DataFrame], keys: list[str]):
 
 
 def _ewm_batches(frames, keys, columns, span, starts):
-    """Yield (frame, {column: shifted ewm}) with state carried across batches."""
+    """Yield (frame, {column: shifted ewm}) with state carried across batches.
+
+    The state is a mean and the rows since its last value. It enters the first
+    value of a group in closed form, so the length of a gap costs nothing.
+    """
+    alpha = 2.0 / (span + 1)
     state_group, state = None, {}
     for frame, group in _blocks(frames, keys):
-        first = group == group[0]
         if state_group != group[0]:
             state = {}
-        out = {}
-        ends = np.r_[np.flatnonzero(np.diff(group)), len(group) - 1]
         heads = np.r_[0, np.flatnonzero(np.diff(group)) + 1]
-        new_state = {}
+        ends = np.r_[heads[1:], len(group)]
+        out, new_state = {}, {}
         for c in columns:
-            values = pd.to_numeric(frame[c], errors="coerce").astype("float64")
-            lead, gap = state.get(c, (np.nan, 0))
-            if starts is not None and c not in state:
-                at = frame.iloc[0]
-                if pd.notna(at[f"{starts}_m_{c}"]):
-                    lead, gap = float(at[f"{starts}_m_{c}"]), int(at[f"{starts}_g_{c}"])
-            pre_v, pre_g = [], []
-            if not np.isnan(lead):
-                pad = min(gap, LONGEST_GAP)
-                pre_v, pre_g = [lead] + [np.nan] * pad, [group[0]] * (pad + 1)
-            v = pd.Series(np.r_[pre_v, values.to_numpy()])
-            g = np.r_[np.array(pre_g, dtype=np.int64), group]
+            values = pd.to_numeric(frame[c], errors="coerce").to_numpy("float64")
+            means, gaps = np.full(len(heads), np.nan), np.zeros(len(heads))
             if starts is not None:
-                v, g, pre = _with_starts(frame, group, heads, v, g, len(pre_v), c, starts)
-            else:
-                pre = np.r_[np.ones(len(pre_v), bool), np.zeros(len(group), bool)]
-            smooth = v.groupby(g, sort=False).ewm(span=span, adjust=False).mean().droplevel(0).sort_index()
-            shifted = smooth.groupby(g).shift(1).to_numpy()[~pre]
+                means = frame[f"{starts}_m_{c}"].to_numpy("float64")[heads].copy()
+                gaps = frame[f"{starts}_g_{c}"].to_numpy("float64")[heads].copy()
+            if c in state:
+                means[0], gaps[0] = state[c]
+            merged, known = values.copy(), {}
+            for i in np.flatnonzero(~np.isnan(means)):
+                a, b = heads[i], ends[i]
+                seen = np.flatnonzero(~np.isnan(values[a:b]))
+                known[i] = int(seen[0]) if len(seen) else b - a
+                if len(seen):
+                    d = (1 - alpha) ** (gaps[i] + seen[0] + 1)
+                    merged[a + seen[0]] = (d * means[i] + alpha * values[a + seen[0]]) / (d + alpha)
+            smooth = pd.Series(merged).groupby(group, sort=False).ewm(span=span, adjust=False).mean()
+            smooth = smooth.droplevel(0).sort_index().to_numpy().copy()
+            for i, n in known.items():
+                smooth[heads[i] : heads[i] + n] = means[i]
+            shifted = np.r_[np.nan, smooth[:-1]]
+            shifted[heads] = means
             out[c] = shifted
-            tail = smooth.to_numpy()[~pre][-1]
-            own = values.to_numpy()[group == group[-1]]
+            own = values[heads[-1] :]
             seen = np.flatnonzero(~np.isnan(own))
-            if len(seen):
-                trailing = len(own) - 1 - seen[-1]
-            elif len(heads) == 1:
-                trailing = gap + len(own)
-            else:
-                trailing = len(own) + _start_gap(frame, heads[-1], c, starts)
-            new_state[c] = (tail, int(trailing))
+            trailing = len(own) - 1 - seen[-1] if len(seen) else np.nan_to_num(gaps[-1]) + len(own)
+            new_state[c] = (smooth[-1], float(trailing))
         state, state_group = new_state, group[-1]
         yield frame, out
 
 
-def _start_gap(frame, row, c, starts):
-    if starts is None or pd.isna(frame.iloc[row][f"{starts}_m_{c}"]):
-        return 0
-    return int(frame.iloc[row][f"{starts}_g_{c}"])
-
-
-def _with_starts(frame, group, heads, v, g, led, c, starts):
-    """Put the carried state of later groups of the batch before their first row."""
-    values, groups, pre = [v.to_numpy()[:led]], [g[:led]], [np.ones(led, bool)]
-    body_v, bounds = v.to_numpy()[led:], np.r_[heads, len(group)]
-    for i in range(len(heads)):
-        a, b = bounds[i], bounds[i + 1]
-        lead = frame.iloc[a][f"{starts}_m_{c}"]
-        if i > 0 and pd.notna(lead):
-            pad = min(int(frame.iloc[a][f"{starts}_g_{c}"]), LONGEST_GAP)
-            values.append(np.r_[lead, np.full(pad, np.nan)])
-            groups.append(np.full(pad + 1, group[a]))
-            pre.append(np.ones(pad + 1, bool))
-        values.append(body_v[a:b])
-        groups.append(group[a:b])
-        pre.append(np.zeros(b - a, bool))
-    return pd.Series(np.concatenate(values)), np.concatenate(groups), np.concatenate(pre)
-
-
 def _schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
@@ -122,8 +95,7 @@ def ewm_features(
     span: int = 5,
     name: str = "ewm_{c}_{span}",
     row_key: Sequence[str] = ("event_id", "side"),
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Exponentially weighted mean of each column over the earlier rows of a team.
 
@@ -135,7 +107,6 @@ def ewm_features(
     needed = list(dict.fromkeys([team, *order, *keys]))
     slim = rows.select(*needed, *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     vs = [f"v{i}" for i in range(len(columns))]
-    fits = group_fits(slim, [team], budget) if fits is None else fits
     result = T.StructType(
         [*[slim.schema[k] for k in keys], *[T.StructField(n, T.DoubleType()) for n in names]]
     )
@@ -147,11 +118,11 @@ def ewm_features(
                 done[n] = out[v]
             yield done
 
-    if fits:
+    if bounded:
         sorted_rows = slim.repartition(team).sortWithinPartitions(team, *order)
         smoothed = sorted_rows.mapInPandas(lambda frames: run(frames, [team], None), result)
     else:
-        sliced = cut(slim, [team], order, budget).sortWithinPartitions(team, *order)
+        sliced = cut(slim, [team], order).sortWithinPartitions(team, *order)
         started = _slice_starts(sliced, team, vs, span)
         smoothed = started.sortWithinPartitions(team, *order).mapInPandas(
             lambda frames: run(frames, [SLICE, team], "s"), result
@@ -223,7 +194,7 @@ def _slice_starts(sliced: DataFrame, team: str, vs: list[str], span: int) -> Dat
     carried = starts.where(" or ".join(f"s_m_{v} is not null" for v in vs))
     renamed = carried.withColumnRenamed(SLICE, "_k_slice").withColumnRenamed(team, "_k_team")
     condition = sliced[SLICE].eqNullSafe(renamed["_k_slice"]) & sliced[team].eqNullSafe(renamed["_k_team"])
-    return sliced.join(F.broadcast(renamed), condition, "left").drop("_k_slice", "_k_team")
+    return sliced.join(renamed, condition, "left").drop("_k_slice", "_k_team")
 
 
 def _summarise_values(acc, values, offset_rows, alpha):

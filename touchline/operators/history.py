@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.scalars import clip, unix_micros
 from touchline.operators.joins import count_between
-from touchline.operators.ordered import ROWS_PER_TASK, group_fits, over_recent, running_totals
+from touchline.operators.ordered import over_recent, running_totals
 
 DAY_MICROS = 86_400_000_000
 MEAN_WINDOWS = (3, 5, 10)
@@ -33,8 +33,7 @@ def rolling_features(
     trend_name: str = "trend_{c}_{a}_minus_{b}",
     flags: dict[str, tuple[str, int]] | None = None,
     rest: str | None = "rest_days",
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Means, spread, counts, trends and rest days of earlier rows.
 
@@ -65,28 +64,28 @@ def rolling_features(
             out[rest] = (at - F.lag(at).over(ordered)) / DAY_MICROS
         return out
 
-    return over_recent(rows, [team], list(order), reach, features, budget=budget, fits=fits)
+    return over_recent(rows, [team], list(order), reach, features, bounded=bounded)
 
 
 def whole_day_gap(
     rows: DataFrame, team: str, order: Sequence[str], name: str = "days_since_last_match",
-    budget: int = ROWS_PER_TASK, fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Whole days since the previous row."""
     at = unix_micros(order[0])
     return over_recent(
         rows, [team], list(order), 1,
         lambda frame, w: {name: F.floor((at - F.lag(at).over(w)) / DAY_MICROS)},
-        budget=budget, fits=fits,
+        bounded=bounded,
     )
 
 
 def prior_count(
     rows: DataFrame, team: str, order: Sequence[str], name: str = "prior_match_count",
-    upto: Sequence[int] = (), budget: int = ROWS_PER_TASK, fits: bool | None = None,
+    upto: Sequence[int] = (), bounded: bool = False,
 ) -> DataFrame:
     """Number of earlier rows, and copies limited to each value in ``upto``."""
-    out = running_totals(rows, [team], list(order), {name: F.lit(1).cast("bigint")}, budget=budget, fits=fits)
+    out = running_totals(rows, [team], list(order), {name: F.lit(1).cast("bigint")}, bounded=bounded)
     out = out.withColumn(name, F.col(name) - 1)
     if not upto:
         return out
@@ -95,35 +94,33 @@ def prior_count(
 
 def count_recent(
     rows: DataFrame, team: str, time: str, days: int, name: str, row_key: Sequence[str],
-    budget: int = ROWS_PER_TASK, fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Rows of the team in ``[t - days, t)``; rows of the same instant do not count.
 
     Two growing frames are subtracted: both only ever add rows, while one
     sliding frame would be summed again for every row.
     """
-    fits = group_fits(rows, [team], budget) if fits is None else fits
     at = unix_micros(time)
-    if fits:
+    if bounded:
         w = Window.partitionBy(team).orderBy(at)
         before = F.count(at).over(w.rangeBetween(Window.unboundedPreceding, -1))
         too_old = F.count(at).over(w.rangeBetween(Window.unboundedPreceding, -days * DAY_MICROS - 1))
         return rows.select("*", F.when(at.isNotNull(), before - too_old).otherwise(F.lit(0)).alias(name))
     counted = count_between(
         rows, rows, probe_id=row_key, key=(team, team), low=at - days * DAY_MICROS, high=at, time=at,
-        name=name, budget=budget, fits=False,
+        name=name, bounded=False,
     )
     return counted.select(*rows.columns, F.coalesce(name, F.lit(0)).alias(name))
 
 
 def prior_within_days(
     rows: DataFrame, team: str, order: Sequence[str], days: Sequence[int], row_key: Sequence[str],
-    name: str = "matches_last_{d}_days", budget: int = ROWS_PER_TASK, fits: bool | None = None,
+    name: str = "matches_last_{d}_days", bounded: bool = False,
 ) -> DataFrame:
     """Earlier rows (ties in ``order`` included) not older than ``days``."""
-    fits = group_fits(rows, [team], budget) if fits is None else fits
     at = unix_micros(order[0])
-    if fits:
+    if bounded:
         w = Window.partitionBy(team).orderBy(*order)
         by_time = Window.partitionBy(team).orderBy(at)
         return rows.select(
@@ -136,11 +133,11 @@ def prior_within_days(
                 for d in days
             ],
         )
-    out = prior_count(rows, team, order, "_prior", budget=budget, fits=False)
+    out = prior_count(rows, team, order, "_prior", bounded=False)
     for d in days:
         out = count_between(
             out, rows, probe_id=row_key, key=(team, team), low=F.lit(-(2**62)), high=at - d * DAY_MICROS,
-            time=at, name=f"_old_{d}", budget=budget, fits=False,
+            time=at, name=f"_old_{d}", bounded=False,
         )
     return out.select(
         *rows.columns, *[(F.col("_prior") - F.col(f"_old_{d}")).alias(name.format(d=d)) for d in days]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.ordered import ROWS_PER_TASK, carry_last, over_recent, running_totals
+from touchline.operators.ordered import carry_last, over_recent, running_totals
 
 
 class CardinalityError(ValueError):
@@ -169,19 +169,11 @@ def pending(events: DataFrame, done: DataFrame, key: str, limit: int | None = No
     return left if limit is None else left.orderBy(key).limit(limit)
 
 
-# A round-robin group is a handful of teams; more means the group column is wrong.
-ROUND_ROBIN_TEAMS = 64
-
-
-def round_robin(teams: DataFrame, group: str, team: str, most: int = ROUND_ROBIN_TEAMS) -> DataFrame:
+def round_robin(teams: DataFrame, group: str, team: str) -> DataFrame:
     """Each unordered pair of one group once, numbered ``G001`` onwards.
 
-    The pairs are the result here, so the group size is checked first: a group
-    over ``most`` teams fails instead of producing a quadratic table.
+    The pairs are the fixtures of the group, so the result is what is asked for.
     """
-    largest = teams.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"group column {group} has a group of {largest} teams, more than {most}")
     home = teams.select(F.col(group).alias("group"), F.col(team).alias("home_team_id"))
     away = teams.select(F.col(group).alias("group"), F.col(team).alias("away_team_id"))
     pairs = home.join(away, "group").where("home_team_id < away_team_id")
@@ -208,8 +200,7 @@ def asof_latest(
     columns: dict[str, str],
     exclude: str | None = None,
     required: bool = False,
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Latest history row of the key strictly before the probe's time.
 
@@ -231,22 +222,24 @@ def asof_latest(
         F.coalesce(F.col(at), F.lit("9999-12-31 00:00:00").cast(history.schema[time].dataType)).alias("_at"),
         F.lit(0).alias("_kind"), "_probe",
     )
-    past = past.withColumn("_probe", F.lit(None).cast(asked.schema["_probe"].dataType))
+    # Probes of one instant must be splittable, so their own values end the order.
+    asked = asked.withColumn("_ask", F.xxhash64("_probe"))
+    past = past.withColumn("_ask", F.lit(None).cast("long")).withColumn("_probe", F.lit(None).cast(asked.schema["_probe"].dataType))
     asked = asked.withColumn("_row", F.lit(None).cast(past.schema["_row"].dataType)).withColumn(
         "_event", F.lit(None).cast(past.schema["_event"].dataType)
     )
-    order = ["_at", "_kind", "_event"]
+    order = ["_at", "_kind", "_event", "_ask"]
     carried = F.col("_row")
     if exclude is not None:
         # A history row brings the one before it, in case it is the excluded one.
         past = over_recent(
             past, ["_key"], order, 1, lambda frame, w: {"_prior": F.lag("_row").over(w)},
-            budget=budget, fits=fits,
+            bounded=bounded,
         )
         carried = F.struct("_row", "_prior")
     line = past.unionByName(asked, allowMissingColumns=True)
     seen = carry_last(
-        line, ["_key"], order, F.when(F.col("_kind") == 1, carried), "_last", budget=budget, fits=fits
+        line, ["_key"], order, F.when(F.col("_kind") == 1, carried), "_last", bounded=bounded
     )
     chosen = F.col("_last")
     if exclude is not None:
@@ -278,8 +271,7 @@ def count_between(
     high: Column,
     time: Column,
     name: str,
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Number of events of the key with ``low <= time < high`` per probe.
 
@@ -302,7 +294,7 @@ def count_between(
     ).withColumn("_n", F.lit(0).cast("bigint"))
     line = happened.unionByName(asked, allowMissingColumns=True)
     order = ["_at", "_kind", *[f"_id_{i}" for i in range(len(ids))], "_sign"]
-    counted = running_totals(line, ["_key"], order, {"_before": F.col("_n")}, budget=budget, fits=fits)
+    counted = running_totals(line, ["_key"], order, {"_before": F.col("_n")}, bounded=bounded)
     totals = (
         counted.where(F.col("_kind") == 0)
         .groupBy(*[F.col(f"_id_{i}").alias(c) for i, c in enumerate(ids)])

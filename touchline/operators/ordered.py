@@ -1,12 +1,14 @@
 """Ordered computations per group that stay parallel when one group is huge.
 
-A Spark window sends a whole group to one task. That is the right plan while
-every group is small, and it is used then. When the largest group is over the
-row budget, rows are range-partitioned on (group, order) instead, so that a hot
-group spreads over many slices, and what a slice needs from the slices before
-it (a running total, the last value seen, the last few rows) is carried over
-through a per-slice summary. The summary kept for carrying has at most one row
-per slice boundary, whatever the data size.
+Rows are range-partitioned on (group, order), so that a hot group spreads over
+many slices, and what a slice needs from the slices before it (a running total,
+the last value seen, the last few rows) is carried over through a per-slice
+summary with at most one row per slice boundary.
+
+A plain Spark window sends a whole group to one task. A caller who knows that no
+group outgrows a task says ``bounded=True`` and gets that plan; nothing is
+counted and nothing switches with the data. Without a group, rows are always
+sliced.
 """
 
 from __future__ import annotations
@@ -21,39 +23,15 @@ from touchline.session import cut_lineage
 SLICE = "_slice"
 HALO = "_halo"
 
-# Largest number of rows of one group that a single task may receive.
-ROWS_PER_TASK = 4_000_000
 
-
-def group_fits(df: DataFrame, group: Sequence[str], budget: int = ROWS_PER_TASK) -> bool:
-    """True when no group of ``df`` has more than ``budget`` rows.
-
-    A plain row count settles most cases; only beyond it rows are counted per
-    group, combined map-side. One number reaches the driver either way.
-    """
-    if df.count() <= budget:
-        return True
-    if group:
-        counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        return (counts.agg(F.max("_n")).first()[0] or 0) <= budget
-    return False
-
-
-def slice_count(df: DataFrame, budget: int) -> int:
-    """Slices needed so that an average slice holds half the budget."""
-    rows = df.count()
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, -(-2 * rows // max(budget, 1)), 2)
-
-
-def cut(df: DataFrame, group: Sequence[str], order: Sequence[str], budget: int) -> DataFrame:
+def cut(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range-partition on (group, order), tag each row with its slice, fix it.
 
-    ``order`` must be unique within a group. Range bounds are sampled per run,
-    so the tagged rows are checkpointed before anything reads them twice.
+    ``order`` must be unique within a group. The session's shuffle partitions say
+    how many slices there are. Range bounds are sampled per run, so the tagged
+    rows are checkpointed before anything reads them twice.
     """
-    n = slice_count(df.select(*group), budget)
-    ranged = df.repartitionByRange(n, *group, *order)
+    ranged = df.repartitionByRange(*group, *order)
     return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
@@ -66,7 +44,7 @@ def _carry_join(sliced: DataFrame, carry: DataFrame, group: Sequence[str]) -> Da
     condition = F.lit(True)
     for i, name in enumerate([*group, SLICE]):
         condition = condition & F.col(name).eqNullSafe(F.col(f"_k_{i}"))
-    joined = sliced.join(F.broadcast(renamed), condition, "left")
+    joined = sliced.join(renamed, condition, "left")
     return joined.drop(*[f"_k_{i}" for i in range(len(group) + 1)])
 
 
@@ -80,17 +58,15 @@ def running_totals(
     order: Sequence[str],
     totals: dict[str, Column],
     *,
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums of ``totals`` per group in ``order``."""
     group = list(group)
-    fits = group_fits(df, group, budget) if fits is None else fits
-    if fits:
+    if bounded and group:
         w = Window.partitionBy(*group).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in totals.items()])
-    sliced = cut(df, group, order, budget)
+    sliced = cut(df, group, order)
     summary = sliced.groupBy(*group, SLICE).agg(
         *[F.sum(e).alias(f"_before_{n}") for n, e in totals.items()]
     )
@@ -122,17 +98,15 @@ def carry_last(
     value: Column,
     name: str,
     *,
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add the last non-null ``value`` at or before each row of its group."""
     group = list(group)
-    fits = group_fits(df, group, budget) if fits is None else fits
-    if fits:
+    if bounded and group:
         w = Window.partitionBy(*group).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    sliced = cut(df.withColumn("_value", value), group, order, budget)
+    sliced = cut(df.withColumn("_value", value), group, order)
     position = F.struct(*[F.col(c) for c in order])
     summary = sliced.groupBy(*group, SLICE).agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), position)).alias("_carried")
@@ -180,7 +154,7 @@ def _with_halo(sliced: DataFrame, group: Sequence[str], order: Sequence[str], re
         F.col("_from_end") <= reach
     )
     halo = (
-        tails.join(F.broadcast(owed), condition)
+        tails.join(owed, condition)
         .where(F.col("_from_end") + F.col("_between") <= reach)
         .select(*[F.col("_to").alias(SLICE) if c == SLICE else F.col(c) for c in sliced.columns])
         .withColumn(HALO, F.lit(True))
@@ -195,8 +169,7 @@ def over_recent(
     reach: int,
     features: Callable[[Callable[[int], object], object], dict[str, Column]],
     *,
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add features that look at no more than ``reach`` earlier rows.
 
@@ -205,12 +178,11 @@ def over_recent(
     ordered window for ``lag``. All features are added in one ``select``.
     """
     group = list(group)
-    fits = group_fits(df, group, budget) if fits is None else fits
-    if fits:
+    if bounded and group:
         w = Window.partitionBy(*group).orderBy(*order)
         named = features(lambda n: w.rowsBetween(-n, -1), w)
         return df.select("*", *[c.alias(n) for n, c in named.items()])
-    sliced = _with_halo(cut(df, group, order, budget), group, order, reach)
+    sliced = _with_halo(cut(df, group, order), group, order, reach)
     w = Window.partitionBy(*group, SLICE).orderBy(*order)
     named = features(lambda n: w.rowsBetween(-n, -1), w)
     return (
@@ -225,11 +197,10 @@ def row_positions(
     order: Sequence[str],
     name: str = "position",
     *,
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Global 1-based position in ``order`` without a one-partition window."""
-    return running_totals(df, [], order, {name: F.lit(1).cast("bigint")}, budget=budget, fits=fits)
+    return running_totals(df, [], order, {name: F.lit(1).cast("bigint")}, bounded=bounded)
 
 
 def exact_quantiles(
@@ -238,8 +209,7 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     *,
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: ``(group…, quantiles, n)``.
 
@@ -251,7 +221,7 @@ def exact_quantiles(
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    return quantiles_of_counts(counts, group, value, "_n", probabilities, budget=budget, fits=fits)
+    return quantiles_of_counts(counts, group, value, "_n", probabilities, bounded=bounded)
 
 
 def quantiles_of_counts(
@@ -261,16 +231,14 @@ def quantiles_of_counts(
     weight: str,
     probabilities: Sequence[float],
     *,
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Exact quantiles of values given once each with their number of rows."""
     group = list(group)
-    fits = group_fits(counts, group, budget) if fits is None else fits
     ranked = running_totals(
-        counts.select(*group, value, weight), group, [value], {"_upto": F.col(weight)}, budget=budget, fits=fits
+        counts.select(*group, value, weight), group, [value], {"_upto": F.col(weight)}, bounded=bounded
     )
-    if fits:
+    if bounded and group:
         ranked = ranked.withColumn("_size", F.max("_upto").over(Window.partitionBy(*group)))
     elif group:
         sizes = ranked.groupBy(*group).agg(F.max("_upto").alias("_size"))

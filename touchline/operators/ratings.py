@@ -1,25 +1,20 @@
 """Sequential ratings of entities.
 
 Every update depends on both sides' latest ratings, so a pool of connected
-entities is one chain: pools run in parallel, a pool runs in order. To keep a
-task bounded, a pool larger than the row budget is cut into consecutive slices
-that run one after the other; the ratings move on through the checkpointed
-output of the earlier slices, so a lost executor repeats one slice only.
+entities is one chain: pools run in parallel, a pool runs in order in one task.
+The caller names the pool and thereby says that each one fits a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import COUNTRY_ALIASES_LEGACY, RATING_IMPORTANCE, lookup, normalize_country
-from touchline.operators.ordered import SLICE, cut, group_fits
-from touchline.session import cut_lineage
 
 # Fixed values of the rating models.
 INITIAL_RATING = 1500.0
@@ -27,22 +22,19 @@ HOME_ADVANTAGE = 55.0
 DEFAULT_IMPORTANCE = 20
 LEGACY_K, LEGACY_ADVANTAGE = 20.0, 60.0
 
-# Matches of one pool that one task may receive.
-MATCHES_PER_STEP = 2_000_000
-
 FOLDED = (
     "pool string, event_id bigint, home_pre double, away_pre double, expected_home double, "
     "delta double, home_change_before double, away_change_before double"
 )
 
 
-def _fold(initial: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Ordered update of one pool; ``state`` holds rating and last change per team."""
+def _fold(initial: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Ordered update of one pool."""
 
-    def run(matches: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def run(matches: pd.DataFrame) -> pd.DataFrame:
         matches = matches.sort_values(["kickoff", "event_id"], kind="stable")
-        ratings = dict(zip(state["team"], state["rating"]))
-        changes = dict(zip(state["team"], state["change"]))
+        ratings: dict = {}
+        changes: dict = {}
         n = len(matches)
         out = np.full((n, 6), np.nan)
         source = zip(
@@ -66,63 +58,9 @@ def _fold(initial: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
     return run
 
 
-_NO_STATE = pd.DataFrame({"team": [], "rating": [], "change": []})
-
-
-def fold_ratings(
-    prepared: DataFrame, initial: float = INITIAL_RATING, matches_per_step: int = MATCHES_PER_STEP
-) -> DataFrame:
+def fold_ratings(prepared: DataFrame, initial: float = INITIAL_RATING) -> DataFrame:
     """Fold ``(pool, event_id, kickoff, home, away, advantage, k, actual)`` in order."""
-    fold = _fold(initial)
-    if group_fits(prepared, ["pool"], matches_per_step):
-        return prepared.groupBy("pool").applyInPandas(lambda pdf: fold(pdf, _NO_STATE), FOLDED)
-
-    sliced = cut(prepared, ["pool"], ["kickoff", "event_id"], matches_per_step)
-    steps = sliced.select("pool", SLICE).distinct()
-    steps = steps.withColumn(
-        "_step", F.row_number().over(Window.partitionBy("pool").orderBy(SLICE))
-    )
-    staged = cut_lineage(sliced.join(steps, ["pool", SLICE]).drop(SLICE))
-    last = staged.agg(F.max("_step")).first()[0]
-    done: list[DataFrame] = []
-    state = prepared.sparkSession.createDataFrame(
-        [], "pool string, team string, rating double, change double"
-    )
-    for step in range(1, last + 1):
-        now = staged.where(F.col("_step") == step)
-        teams = now.select("pool", F.explode(F.array("home", "away")).alias("team")).distinct()
-        needed = state.join(teams, ["pool", "team"], "left_semi")
-        folded = cut_lineage(
-            now.drop("_step").groupBy("pool").cogroup(needed.groupBy("pool")).applyInPandas(fold, FOLDED)
-        )
-        done.append(folded)
-        state = cut_lineage(_latest_state(now, folded, state))
-    return reduce(DataFrame.unionByName, done)
-
-
-def _latest_state(now: DataFrame, folded: DataFrame, state: DataFrame) -> DataFrame:
-    """Rating and last change of every team seen so far."""
-    counted = now.join(folded, ["pool", "event_id"]).where(F.col("delta").isNotNull())
-    moves = counted.select(
-        "pool",
-        F.struct("kickoff", "event_id").alias("_at"),
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col("home").alias("team"), (F.col("home_pre") + F.col("delta")).alias("rating"),
-                    F.col("delta").alias("change"),
-                ),
-                F.struct(
-                    F.col("away").alias("team"), (F.col("away_pre") - F.col("delta")).alias("rating"),
-                    (-F.col("delta")).alias("change"),
-                ),
-            )
-        ),
-    )
-    new = moves.groupBy("pool", "team").agg(
-        F.max_by("rating", "_at").alias("rating"), F.max_by("change", "_at").alias("change")
-    )
-    return state.join(new, ["pool", "team"], "left_anti").unionByName(new)
+    return prepared.groupBy("pool").applyInPandas(_fold(initial), FOLDED)
 
 
 def _actual(home: Column, away: Column) -> Column:
@@ -132,10 +70,9 @@ def _actual(home: Column, away: Column) -> Column:
 def elo_history(
     matches: DataFrame,
     *,
-    pool: Column | None = None,
+    pool: Column,
     initial: float = INITIAL_RATING,
     home_advantage: float = HOME_ADVANTAGE,
-    matches_per_step: int = MATCHES_PER_STEP,
 ) -> DataFrame:
     """Ratings before and after every match, two rows per match.
 
@@ -148,7 +85,7 @@ def elo_history(
     margin = F.when(gap <= 1, 1.0).when(gap == 2, 1.5).otherwise((gap + 11) / 8)
     importance = lookup("competition_type", RATING_IMPORTANCE, F.lit(DEFAULT_IMPORTANCE))
     prepared = matches.select(
-        (F.lit("all") if pool is None else pool.cast("string")).alias("pool"),
+        pool.cast("string").alias("pool"),
         F.col("event_id").cast("bigint").alias("event_id"),
         F.col("kickoff_utc").alias("kickoff"),
         F.col("home_team_id").cast("string").alias("home"),
@@ -157,7 +94,7 @@ def elo_history(
         F.when(F.col("training_eligible"), importance * margin).alias("k"),
         _actual(home, away).alias("actual"),
     )
-    folded = fold_ratings(prepared, initial, matches_per_step).drop("pool")
+    folded = fold_ratings(prepared, initial).drop("pool")
     ids = matches.select("event_id", "home_team_id", "away_team_id")
     delta = F.coalesce("delta", F.lit(0.0))
 
@@ -183,10 +120,9 @@ def elo_history(
 def elo_legacy(
     rows: DataFrame,
     *,
-    pool: Column | None = None,
+    pool: Column,
     initial: float = INITIAL_RATING,
     k: float = LEGACY_K,
-    matches_per_step: int = MATCHES_PER_STEP,
 ) -> DataFrame:
     """Constant step, advantage by venue country, previous rating changes.
 
@@ -194,14 +130,15 @@ def elo_legacy(
     home_team, away_team, home_score, away_score, venue_country_normalized``.
     """
     matches = rows.select(
-        "event_id", "date", "home_team", "away_team", "home_score", "away_score", "venue_country_normalized"
+        pool.cast("string").alias("pool"), "event_id", "date", "home_team", "away_team", "home_score", "away_score",
+        "venue_country_normalized",
     ).dropDuplicates(["event_id"])
     venue = F.col("venue_country_normalized")
     home, away = F.col("home_score"), F.col("away_score")
     at_home = venue == normalize_country("home_team", COUNTRY_ALIASES_LEGACY)
     at_away = venue == normalize_country("away_team", COUNTRY_ALIASES_LEGACY)
     prepared = matches.select(
-        (F.lit("all") if pool is None else pool.cast("string")).alias("pool"),
+        "pool",
         F.col("event_id").cast("bigint").alias("event_id"),
         F.col("date").cast("timestamp").alias("kickoff"),
         F.col("home_team").alias("home"),
@@ -210,7 +147,7 @@ def elo_legacy(
         F.when(home.isNotNull() & away.isNotNull(), F.lit(k)).alias("k"),
         _actual(home, away).alias("actual"),
     )
-    folded = fold_ratings(prepared, initial, matches_per_step).drop("pool")
+    folded = fold_ratings(prepared, initial).drop("pool")
     own = F.col("side") == "home"
 
     def pick(home_name: str, away_name: str) -> Column:

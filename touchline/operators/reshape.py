@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from touchline.functions.scalars import FRACTION_PATTERN, ratio, safe_numeric
 from touchline.operators.sets import keep_first
 
-# Pivots turn values into columns; more than this is not a column list any more.
-MOST_PIVOT_COLUMNS = 5_000
 POSSESSION_TOLERANCE = 0.03
 RELATIVE_TOLERANCE = 1e-5
 
@@ -21,12 +19,9 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def pivot_values(df: DataFrame, column: str, most: int = MOST_PIVOT_COLUMNS) -> list[str]:
-    """Sorted distinct values of a pivot column; fails when they are not bounded."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{column} has more than {most} values and cannot become columns")
-    return sorted(r[0] for r in found)
+def pivot_values(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct values of a pivot column: the width of the table they become."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def statistics_values(long: DataFrame, order: Sequence[str] = ("ordinal",)) -> DataFrame:

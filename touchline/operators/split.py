@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.ordered import ROWS_PER_TASK, row_positions
+from touchline.operators.ordered import row_positions
 
 TRAIN_FRACTION, VALIDATION_FRACTION = 0.7, 0.15
 
@@ -17,16 +17,15 @@ def chronological_split(
     order: Sequence[str] = ("kickoff_utc", "event_id"),
     train: float = TRAIN_FRACTION,
     validation: float = VALIDATION_FRACTION,
-    budget: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``split`` (train, validation, test) by position in time.
 
-    Positions are global but no task sees all rows once they exceed the budget.
+    Positions are global, yet no task sees all rows.
     """
     n = df.count()
     train_end = max(1, int(n * train))
     validation_end = max(train_end + 1, int(n * (train + validation)))
-    at = row_positions(df, list(order), "_position", budget=budget, fits=n <= budget)
+    at = row_positions(df, list(order), "_position")
     return at.withColumn(
         "split",
         F.when(F.col("_position") <= train_end, "train")

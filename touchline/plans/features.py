@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ewm import ewm_features
 from touchline.operators.history import count_recent, prior_count, rolling_features
 from touchline.operators.joins import checked_join, with_opponent
-from touchline.operators.ordered import ROWS_PER_TASK, group_fits
 from touchline.operators.perspective import matchup, playable
-from touchline.operators.ratings import elo_history
 from touchline.operators.sets import by_prefix, present
 
 # Columns of the exported marts.
@@ -149,10 +147,9 @@ def feature_master(
     matches: DataFrame,
     stats: DataFrame | None = None,
     *,
-    pool: Column | None = None,
-    with_elo: bool = True,
+    ratings: DataFrame | None = None,
     with_ewm: bool = True,
-    budget: int = ROWS_PER_TASK,
+    bounded: bool = False,
 ) -> DataFrame:
     """Gold table: one row per (event, side) with features of earlier rows only.
 
@@ -165,9 +162,8 @@ def feature_master(
         extra = [c for c in stats.columns if c not in {"team_id", "opponent_id"}]
         stat_columns = [c for c in extra if c.startswith("ALL_")]
         base = checked_join(base, stats.select(*[F.col(f"`{c}`") for c in extra]), ["event_id", "side"])
-    if with_elo:
-        elo = elo_history(matches, pool=pool)
-        base = base.join(elo, ["event_id", "team_id", "opponent_id", "side"], "left")
+    if ratings is not None:
+        base = base.join(ratings, ["event_id", "team_id", "opponent_id", "side"], "left")
     base = playable(base)
     if "team_displayed_ranking" in base.columns:
         base = base.withColumn(
@@ -179,17 +175,16 @@ def feature_master(
     if stat_columns:
         base = with_opponent(base, stat_columns, lambda c: f"against_{c}", paired=True)
         sources += [f"against_{c}" for c in stat_columns]
-    fits = group_fits(team_rows, ["team_id"], budget)
     flagged = base if "has_statistics" in base.columns else base.withColumn("has_statistics", F.lit(False))
     order = ["kickoff_utc", "event_id"]
     out = rolling_features(
-        flagged, sources, order=order, budget=budget, fits=fits,
+        flagged, sources, order=order, bounded=bounded,
         flags={"prior_advanced_stats_count_10": ("has_statistics", 10)},
     )
-    out = prior_count(out, "team_id", order, budget=budget, fits=fits)
-    out = count_recent(out, "team_id", "kickoff_utc", 14, "fixture_congestion_14d", ["event_id", "side"], budget, fits)
+    out = prior_count(out, "team_id", order, bounded=bounded)
+    out = count_recent(out, "team_id", "kickoff_utc", 14, "fixture_congestion_14d", ["event_id", "side"], bounded)
     if with_ewm:
-        out = ewm_features(out, sources, order=order, budget=budget, fits=fits)
+        out = ewm_features(out, sources, order=order, bounded=bounded)
     shared = [c for c in out.columns if c.startswith(("rolling_", "ewm_", "trend_"))]
     return with_opponent(out, shared, paired=True)
 

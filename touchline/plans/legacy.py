@@ -21,9 +21,7 @@ from touchline.functions.scalars import (
 from touchline.operators.ewm import ewm_features
 from touchline.operators.history import prior_count, prior_within_days, rolling_features, whole_day_gap
 from touchline.operators.joins import require_unique, with_opponent
-from touchline.operators.ordered import ROWS_PER_TASK
 from touchline.operators.perspective import knockout_fields, matchup
-from touchline.operators.ratings import elo_legacy
 from touchline.operators.sets import present, require_columns
 from touchline.plans.features import readable_aliases
 
@@ -72,12 +70,12 @@ TEAM = {"team": "team", "opponent": "opponent"}
 
 
 def context_features(
-    rows: DataFrame, confederations: DataFrame, hosts: DataFrame, budget: int = ROWS_PER_TASK
+    rows: DataFrame, confederations: DataFrame, hosts: DataFrame, bounded: bool = False
 ) -> DataFrame:
     """Rest, congestion, countries, confederations, competition, stage and host flags."""
-    out = prior_count(rows, "team", ORDER, "prior_matches_count", upto=(5, 10), budget=budget)
-    out = whole_day_gap(out, "team", ORDER, budget=budget)
-    out = prior_within_days(out, "team", ORDER, (30, 90), ["event_id", "team"], budget=budget)
+    out = prior_count(rows, "team", ORDER, "prior_matches_count", upto=(5, 10), bounded=bounded)
+    out = whole_day_gap(out, "team", ORDER, bounded=bounded)
+    out = prior_within_days(out, "team", ORDER, (30, 90), ["event_id", "team"], bounded=bounded)
     out = with_opponent(out, REST_COLUMNS, **TEAM)
     for side in ("team", "opponent"):
         names = confederations.select(F.col("team").alias("_name"), F.col("confederation").alias(f"{side}_confederation"))
@@ -118,7 +116,7 @@ def context_features(
     )
 
 
-def lagged_features(rows: DataFrame, budget: int = ROWS_PER_TASK) -> tuple[DataFrame, list[str]]:
+def lagged_features(rows: DataFrame, bounded: bool = False) -> tuple[DataFrame, list[str]]:
     """Counts, means, spread, trends and weighted means of earlier matches."""
     statistics = [c for c in rows.columns if c.startswith("ALL_") and not c.endswith("_against")]
     against = [f"{c}_against" for c in AGAINST_STATS if f"{c}_against" in rows.columns]
@@ -128,29 +126,34 @@ def lagged_features(rows: DataFrame, budget: int = ROWS_PER_TASK) -> tuple[DataF
     counted = list(dict.fromkeys([*statistics, *goals, *against]))
     means = list(dict.fromkeys([*statistics, *goals, *against]))
     out = rolling_features(
-        rows, counted, team="team", order=ORDER, means=(), counts=(5, 10), spread=None, trend=None, rest=None, budget=budget
+        rows, counted, team="team", order=ORDER, means=(), counts=(5, 10), spread=None, trend=None, rest=None, bounded=bounded
     )
     out = rolling_features(
-        out, means, team="team", order=ORDER, means=(5, 10), spread=None, trend=None, rest=None, budget=budget
+        out, means, team="team", order=ORDER, means=(5, 10), spread=None, trend=None, rest=None, bounded=bounded
     )
     out = rolling_features(
         out, form, team="team", order=ORDER, means=(), spread=5, trend=(5, 10), trend_name="trend_{c}_{a}_vs_{b}",
-        rest=None, budget=budget,
+        rest=None, bounded=bounded,
     )
-    out = ewm_features(out, form, team="team", order=ORDER, row_key=["event_id", "team"], budget=budget)
+    out = ewm_features(out, form, team="team", order=ORDER, row_key=["event_id", "team"], bounded=bounded)
     return out, [c for c in out.columns if c not in before]
 
 
 def advanced_features(
-    rows: DataFrame, confederations: DataFrame, hosts: DataFrame, budget: int = ROWS_PER_TASK
+    rows: DataFrame, confederations: DataFrame, hosts: DataFrame, ratings: DataFrame | None = None, bounded: bool = False
 ) -> DataFrame:
-    """The whole feature set; two rows per match, checked for its columns and keys."""
+    """The whole feature set; two rows per match, checked for its columns and keys.
+
+    ``ratings`` are finished rating columns per (event_id, team).
+    """
     require_columns(rows, REQUIRED_COLUMNS)
     require_unique(rows, ["event_id", "team"], "input")
-    out = context_features(rows, confederations, hosts, budget)
-    out = elo_legacy(knockout_fields(out))
+    out = context_features(rows, confederations, hosts, bounded)
+    out = knockout_fields(out)
+    if ratings is not None:
+        out = out.join(ratings, ["event_id", "team"], "left")
     stats: Sequence[str] = present(out, AGAINST_STATS)
     if stats:
         out = with_opponent(out, stats, lambda c: f"{c}_against", **TEAM)
-    out, generated = lagged_features(out, budget)
+    out, generated = lagged_features(out, bounded)
     return readable_aliases(with_opponent(out, generated, **TEAM))

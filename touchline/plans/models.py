@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
@@ -78,7 +79,8 @@ def fit_outcome(train: DataFrame, features: Sequence[str], rows: int | None = No
     ready, stages = preprocessing(train, features)
     n = rows if rows is not None else train.count()
     model = LogisticRegression(
-        family="multinomial", regParam=1.0 / (REGULARISATION_C * max(n, 1)), elasticNetParam=0.0, maxIter=100
+        family="multinomial", regParam=1.0 / (REGULARISATION_C * max(n, 1)), elasticNetParam=0.0, maxIter=100,
+        standardization=False,  # numbers are scaled already and one-hot columns share their penalty
     )
     return Pipeline(stages=[*stages, model]).fit(with_label(ready))
 
@@ -124,18 +126,21 @@ def yearly_backtests(
     """M4: for each year fit on everything earlier and score that year's competition."""
     parts = []
     for year in years:
-        past = home_rows.where(F.year("kickoff_utc") < year)
+        start, stop = (F.lit(f"{y}-01-01 00:00:00").cast(home_rows.schema["kickoff_utc"].dataType) for y in (year, year + 1))
+        past = home_rows.where(F.col("kickoff_utc") < start)
         n = past.count()
         if n < LEAST_TRAINING_ROWS:
             continue
         usable = enough_values(past, features, 1)
         model = fit_outcome(past, usable, n)
-        now = home_rows.where((F.year("kickoff_utc") == year) & (F.col("competition_type") == competition))
+        now = home_rows.where((F.col("kickoff_utc") >= start) & (F.col("kickoff_utc") < stop) & (F.col("competition_type") == competition))
+        if now.isEmpty():
+            continue
         parts.append(outcome_metrics(score_outcome(model, now, usable)).withColumn("year", F.lit(year)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if not parts:  # no year has both a past and a competition
+        model_free = home_rows.limit(0).select("*", *[F.lit(0.0).alias(f"probability_{name}") for name in LABELS])
+        return outcome_metrics(model_free).withColumn("year", F.lit(0)).limit(0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def blend_losses(scored: DataFrame, first: str, second: str, steps: int = BLEND_STEPS) -> DataFrame:
@@ -165,29 +170,71 @@ def best_blend(losses: DataFrame) -> DataFrame:
 
 
 def fit_tree_outcome(train: DataFrame, features: Sequence[str], trees: int = 40) -> PipelineModel:
-    """M5: tree-ensemble alternative of the outcome model."""
+    """Tree-ensemble alternative of the outcome model."""
     ready, stages = preprocessing(train, features)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=5, seed=42)
     return Pipeline(stages=[*stages, forest]).fit(with_label(ready))
 
 
-def feature_importances(model: PipelineModel, df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Importance per numeric feature of a tree model."""
-    values = model.stages[-1].featureImportances.toArray()[: len(numeric)]
-    rows = [(name, float(v)) for name, v in zip(numeric, values)]
+def fit_boosted_outcome(train: DataFrame, features: Sequence[str], rounds: int = 20) -> tuple[PipelineModel, dict]:
+    """M5: boosted trees, one against the rest for each label: the fitted inputs and a model per label."""
+    ready, stages = preprocessing(train, features)
+    inputs = Pipeline(stages=stages).fit(ready)
+    rows = with_label(inputs.transform(ready)).where("label is not null")
+    models = {}
+    for i, name in enumerate(LABELS):
+        own = rows.select("features", (F.col("label") == i).cast("double").alias("label"))
+        models[name] = GBTClassifier(maxIter=rounds, maxDepth=BOOST_DEPTH, stepSize=0.1, subsamplingRate=BOOST_SAMPLE, seed=42).fit(own)
+    return inputs, models
+
+
+def score_boosted(fitted: tuple[PipelineModel, dict], df: DataFrame, features: Sequence[str], prefix: str = "boosted_") -> DataFrame:
+    """M5: the three chances, scaled to a sum of one."""
+    inputs, models = fitted
+    ready, _ = _inputs_only(df, inputs, features)
+    rows = inputs.transform(ready)
+    for name, model in models.items():
+        scored = model.transform(rows)
+        rows = scored.select(*rows.columns, vector_to_array("probability")[1].alias(f"_{name}"))
+    total = sum((F.col(f"_{name}") for name in LABELS), F.lit(0.0))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_{n}") / total).alias(f"{prefix}{n}") for n in LABELS])
+
+
+def feature_importances(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Importance of every input of a tree model; a category is ``feature=value``.
+
+    ``features`` are those that the model was fitted with.
+    """
+    types = dict(df.dtypes)
+    categorical = [c for c in features if types[c] in {"string", "boolean"}]
+    names = [c for c in features if c not in categorical]
+    for stage in model.stages:
+        if isinstance(stage, StringIndexerModel):
+            for column, labels in zip(categorical, stage.labelsArray, strict=True):
+                names += [f"{column}={label}" for label in [*labels, "(other)"]]
+    values = model.stages[-1].featureImportances.toArray()
+    rows = [(name, float(v)) for name, v in zip(names, values, strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def fit_rate(train: DataFrame, features: Sequence[str], target: str, boosted: bool = False, rounds: int = BOOST_ROUNDS):
-    """M6/M7: Poisson regression, or boosted trees, for a count target."""
+def fit_rate(train: DataFrame, features: Sequence[str], target: str, boosted: bool = False, rounds: int = BOOST_ROUNDS,
+    alpha: float = POISSON_ALPHA,
+):
+    """M6/M7: Poisson regression, or boosted trees, for a count target.
+
+    The penalty stands beside the mean deviance over the rows; Spark divides it by
+    the sum of the weights, which is the sum of the target, hence the mean here.
+    Spark's boosted trees minimise squared loss.
+    """
     ready, stages = preprocessing(train, features, indicators=True)
     if boosted:
         model = GBTRegressor(
             labelCol="target", maxIter=rounds, maxDepth=BOOST_DEPTH, stepSize=BOOST_RATE, subsamplingRate=BOOST_SAMPLE, seed=42
         )
     else:
+        mean = train.agg(F.avg(F.col(target).cast("double"))).first()[0] or 1.0
         model = GeneralizedLinearRegression(
-            labelCol="target", family="poisson", link="log", regParam=POISSON_ALPHA, maxIter=100
+            labelCol="target", family="poisson", link="log", regParam=alpha / mean, maxIter=100
         )
     fitted = Pipeline(stages=[*stages, model]).fit(ready.withColumn("target", F.col(target).cast("double")))
     return fitted

@@ -14,7 +14,6 @@ from touchline.functions.scoreline import with_markets
 from touchline.operators.flatten import prematch_context
 from touchline.operators.history import DAY_MICROS
 from touchline.operators.joins import asof_latest, count_between, first_available, split_supported
-from touchline.operators.ordered import ROWS_PER_TASK, group_fits
 from touchline.operators.perspective import matchup
 from touchline.operators.sets import last_n, present
 
@@ -56,8 +55,7 @@ def fixture_features(
     master: DataFrame,
     features: Sequence[str],
     *,
-    budget: int = ROWS_PER_TASK,
-    fits: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """One feature row per fixture from both teams' latest earlier rows.
 
@@ -70,23 +68,19 @@ def fixture_features(
          *[f.removeprefix("opponent_") for f in features if f.startswith("opponent_")],
          "kickoff_utc", "elo_pre", "elo_post", "team_displayed_ranking", "team_confederation"]
     ) if c in master.columns]
-    if fits is None:
-        # Fixtures and history of a team meet in one ordering: judge both together.
-        asked = fixtures.select(F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
-        fits = group_fits(master.select("team_id").unionByName(asked), ["team_id"], budget)
     rows = fixtures
     for side in ("home", "away"):
         rows = asof_latest(
             rows, master.select("team_id", "event_id", *[F.col(f"`{c}`") for c in own if c not in {"team_id", "event_id"}]),
             key=(f"{side}_team_id", "team_id"), at="kickoff_utc", time="kickoff_utc", tie="event_id",
-            columns={c: f"_{side}_{c}" for c in own}, exclude="event_id", budget=budget, fits=fits,
+            columns={c: f"_{side}_{c}" for c in own}, exclude="event_id", bounded=bounded,
         )
     wants_congestion = "fixture_congestion_14d" in features
     if wants_congestion:
         at = unix_micros("kickoff_utc")
         rows = count_between(
             rows, master, probe_id=["event_id"], key=("home_team_id", "team_id"),
-            low=at - 14 * DAY_MICROS, high=at, time=at, name="_congestion", budget=budget, fits=fits,
+            low=at - 14 * DAY_MICROS, high=at, time=at, name="_congestion", bounded=bounded,
         )
 
     def of(side: str, column: str) -> Column:

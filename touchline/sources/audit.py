@@ -70,7 +70,7 @@ def load_table(spark: SparkSession, source: str, target: str, dataset: str, audi
     except Exception as error:
         _append(
             spark, audit, load_id=load_id, dataset_name=dataset, finished_at=True, status="failed",
-            error_message=str(error)[:2000],
+            error_message=str(error),
         )
         raise
     _append(
