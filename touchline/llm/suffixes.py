@@ -29,12 +29,12 @@ from touchline.llm.words import SLICE_BYTES, U64, mix, powers, signed, slices, t
 
 WIDTH = 200
 GRAM = 80
-OFTEN = 2000  # an anchor with more occurrences is dealt by a longer string
+OFTEN = 20_000  # an anchor with more occurrences is dealt by a longer string
 STEP = 8  # window starts that such a string serves
 TASK_BYTES = 1 << 20
 _PLACE = (1 << 24) - 1
 SEGMENT = "key long, g1 long, g2 long, segment binary, times long"
-OWNER = "id long, th long, start long, n int, g1 long, g2 long"
+OWNER = "id long, th int, start long, n int, g1 long, g2 long"
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -87,28 +87,22 @@ def _parts(data: np.ndarray, offsets: np.ndarray, width: int):
             yield first, part, np.array([0, len(part)]), start
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")
-    )
-
-
 def anchor_rows(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per segment; ``place`` holds its start, number of windows and distance to the anchor."""
 
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            ids, keys = batch.column("id").to_numpy(), batch.column("th").to_numpy()
+            ids, keys = batch.column("id"), batch.column("th")
             for first, part, at, base in _parts(data, offsets, width):
                 rows, start, n, away, hashes = anchors(part, at, width, gram)
                 place = (start + base) << 16 | n << 8 | away
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(hashes)), pa.array(ids[first + rows]), pa.array(keys[first + rows]), pa.array(place)],
+                    [pa.array(signed(hashes)), ids.take(pa.array(first + rows)), keys.take(pa.array(first + rows)), pa.array(place)],
                     ["h", "id", "th", "place"],
                 )
 
-    return texts.mapInArrow(run, "h long, id long, th long, place long")
+    return texts.mapInArrow(run, "h long, id long, th int, place long")
 
 
 def _cut(batches, width: int):
@@ -161,7 +155,7 @@ def segments(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
                 ["key", "g1", "g2", "segment", "times"],
             )
 
-    return candidates.select("text", "places").mapInArrow(run, SEGMENT)
+    return candidates.mapInArrow(run, SEGMENT)
 
 
 def owners(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -169,10 +163,10 @@ def owners(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches):
         for batch, found in _cut(batches, width):
-            rows = np.array([x[0] for x in found])
+            rows = pa.array([x[0] for x in found])
             g1, g2 = _names(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column("id").to_numpy()[rows]), pa.array(batch.column("th").to_numpy()[rows]),
+                [batch.column("id").take(rows), batch.column("th").take(rows),
                  pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int32()), pa.array(g1), pa.array(g2)],
                 ["id", "th", "start", "n", "g1", "g2"],
             )
@@ -303,38 +297,43 @@ def repeated_segments(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, often: int = OFTEN) -> DataFrame:
-    """Add ``spans`` (removed byte ranges) and ``kept`` (the remaining bytes) to every document."""
-    texts = _identified(docs)
+    """Add ``spans`` (removed byte ranges), ``kept`` (the remaining bytes) and ``kept_text`` to every document.
+
+    A cut may fall inside a character; ``kept_text`` leaves such half characters out, and is null for a null text.
+    """
+    kept = docs.drop("spans", "kept", "kept_text")
+    names = kept.columns
+    # Both joins below take this one shuffled copy of the documents, so it keeps all columns.
+    keyed = kept.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.hash("text"))
+    texts = keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
     rows = anchor_rows(texts, width, gram)
     repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > often).alias("often"))
     placed = rows.join(repeated, "h").groupBy("id", "th").agg(F.collect_set(F.struct("place", "h", "often")).alias("places"))
-    candidates = texts.join(placed, ["id", "th"])
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))
+    candidates = keyed.join(placed, same)
     marked = repeated_segments(segments(candidates, width), width)
     found = owners(candidates, width).join(marked, ["g1", "g2"])
     by_document = found.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "marks")).alias("_found"))
-    kept = docs.drop("spans", "kept")
-    names = kept.columns
-    keyed = kept.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_th", F.xxhash64("text"))
-    joined = keyed.join(by_document.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_found"), ["_id", "_th"], "left").select(
-        *names, "_found"
-    )
+    joined = keyed.join(by_document, same, "left").select(*names, "_found")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
-    schema = T.StructType([*kept.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def apply(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                spans, left = [], []
+                spans, left, readable = [], [], []
                 for text, found in zip(part.column("text").to_pylist(), part.column("_found").to_pylist(), strict=True):
                     raw = (text or "").encode()
                     runs = _covered(found or [], width)
                     spans.append([{"start": a, "stop": b} for a, b in runs])
                     bounds = [0, *(x for run in runs for x in run), len(raw)]
                     left.append(b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)))
+                    readable.append(None if text is None else text if not runs else left[-1].decode("utf-8", "ignore"))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array(spans, kind), pa.array(left, pa.binary())], [*names, "spans", "kept"]
+                    [*(part.column(c) for c in names), pa.array(spans, kind), pa.array(left, pa.binary()), pa.array(readable, pa.string())],
+                    [*names, "spans", "kept", "kept_text"],
                 )
 
     return joined.mapInArrow(apply, schema)
