@@ -1,10 +1,45 @@
-"""From raw documents to piece ids, in stages that each write what the next one reads."""
+"""From raw documents to piece ids, in stages that each write what the next one reads.
+
+Each stage works on everything that the one before kept. A document without an id is kept or dropped by its own text;
+rows that repeat an id and a text are one document to the near-duplicate stage, which keeps or drops them together.
+"""
 
 from __future__ import annotations
 
-from touchline.llm import pieces
-from touchline.llm.queries import PIECES, tokenizer
-from touchline.session import fresh_path
+from pyspark.sql import functions as F
+
+from touchline.llm import decontaminate, near_dedup, pieces, ranker, suffixes
+from touchline.llm.queries import PIECES, table, tokenizer
+from touchline.llm.spread import keep
+from touchline.session import configure, fresh_path
+
+QUALITY = 0.3
+SIMILARITY = 80
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the pairwise ranking does not reject."""
+    model = ranker.learn(keep(ranker.featured(docs), "features"), table(spark, sf_dir, "labels"), cut=QUALITY)
+    return ranker.with_quality(docs, *model, name="_score").where(F.col("_score") >= QUALITY).drop("_score")
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """The document with the smallest id of each group of near copies."""
+    kept = near_dedup.near_duplicates(docs, percent=SIMILARITY).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Texts without the strings of 200 bytes that occur elsewhere."""
+    names = docs.columns
+    found = suffixes.remove_repeats(docs)
+    return found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(names)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents without a passage of the benchmark."""
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(docs.columns)
 
 
 def encode(spark, docs, sf_dir):
@@ -12,12 +47,19 @@ def encode(spark, docs, sf_dir):
     return pieces.encode(docs, tokenizer(PIECES))
 
 
-STAGES = [("encode", encode)]
-ORACLE_SQL = None  # trained scores, sampled signatures and suffix sorting are not SQL
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("encode", encode),
+]
+ORACLE_SQL = None  # a trained ranking and a latent search are not SQL; the tests compare with brute force
 
 
 def run(spark, sf_dir):
     """All stages over ``documents``; each result is written in the shared folder and read again."""
+    configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.llm.spread import keep
 from touchline.llm.words import U64, hashed_words, slices, text_bytes
@@ -133,17 +134,39 @@ def scored(rows: DataFrame, weights: np.ndarray, offset: float) -> Column:
     return 1 / (1 + F.exp(-(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) + offset)))
 
 
-def rank_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.3, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from ``cut`` on) of every document."""
-    rows = keep(featured(docs), "features")
+def learn(rows: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.3, most: int = MOST_LABELLED) -> tuple[np.ndarray, float]:
+    """Weights and offset from the labelled documents among the featured ``rows``; held-out labels are not read."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("y"))
     sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("features", "y").collect()
     good = np.array([r["y"] == 1 for r in sample], dtype=bool)
     if good.any() and not good.all():
-        weights, offset = fit(np.array([r["features"] for r in sample], dtype=np.float64), good, cut)
-    else:  # nothing to prefer: every document gets the same score, on the side of the only class
-        weights, offset = np.zeros(2 * len(FEATURES)), 1.0 if good.all() else -3.0
-    score = scored(rows, weights, offset)
+        return fit(np.array([r["features"] for r in sample], dtype=np.float64), good, cut)
+    # Nothing to prefer: every document gets the same score, on the side of the only class.
+    return np.zeros(2 * len(FEATURES)), 1.0 if good.all() else -3.0
+
+
+def rank_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.3, most: int = MOST_LABELLED) -> DataFrame:
+    """doc_id, held_out, score and predicted (1 from ``cut`` on) of every document."""
+    rows = keep(featured(docs), "features")
+    score = scored(rows, *learn(rows, labels, label, cut, most))
     return rows.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= cut).cast("int")
     )
+
+
+def with_quality(docs: DataFrame, weights: np.ndarray, offset: float, name: str = "quality_score") -> DataFrame:
+    """Add the score of a learnt model to every document, whatever its id, without moving texts."""
+    kept = docs.drop(name)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for first, last in slices(offsets):
+                at = offsets[first : last + 1]
+                x = features(data[at[0] : at[-1]], at - at[0]).astype(np.float64)
+                score = 1 / (1 + np.exp(-np.clip(np.hstack([x, x**2]) @ weights + offset, -500, 500)))
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, name])
+
+    return kept.mapInArrow(run, schema)
