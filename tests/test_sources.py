@@ -90,7 +90,7 @@ def test_import_odds_from_csv(spark, tmp_path):
         "1,b,m,home,2.0,decimal,2024-01-01T00:00:00Z,2024-01-02T00:00:00Z\n"
         "1,b,m,away,2.0,decimal,2024-01-01T00:00:00Z,2024-01-02T00:00:00Z\n"
     )
-    got = import_odds(spark, str(path), str(tmp_path / "out.parquet"))
+    got = import_odds(spark, str(path), str(tmp_path / "out.parquet"), ["snapshot_utc"])
     assert [r["no_vig_probability"] for r in got.collect()] == [0.5, 0.5]
 
 
@@ -104,7 +104,7 @@ def test_links_to_fixtures(spark):
     payloads = spark.createDataFrame([(10, payload % 2), (11, payload % 99)], "event_id bigint, payload string")
     cache = spark.createDataFrame([(10, "{}")], "event_id bigint, payload string")
     dim = registry.check_registry(teams(spark))
-    ok, rejected = link_fixtures(links, payloads, cache, dim, ["scores.example.com"])
+    ok, rejected = link_fixtures(links, payloads.withColumn("fetched_at", F.lit(1)), cache, dim, ["scores.example.com"], newest="fetched_at")
     row = ok.first()
     assert ok.count() == 1 and (row["home_team_id"], row["away_team_id"], row["neutral_site"]) == ("t1", "t2", 1)
     reasons = {r["event_id"]: r["reject_reason"] for r in rejected.collect()}

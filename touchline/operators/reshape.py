@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import FRACTION_PATTERN, ratio, safe_numeric
@@ -29,7 +29,8 @@ def statistics_values(long: DataFrame, order: Sequence[str] = ("ordinal",)) -> D
 
     The first occurrence of ``(event_id, period, stat_name)`` in ``order`` counts.
     """
-    source = keep_first(long, ["event_id", "period", "stat_name"], list(order))
+    # One shuffle by event serves this step and the pivot after it.
+    source = keep_first(long.repartition("event_id"), ["event_id", "period", "stat_name"], list(order))
 
     def side(name: str) -> Column:
         return F.struct(
@@ -209,26 +210,20 @@ def quarantine(wide: DataFrame, key: str = "event_id") -> tuple[DataFrame, DataF
         )
     issues, clean = range_issues, inside
     if possession:
-        sums = inside.groupBy(key).agg(
-            *[
-                F.when(
-                    (F.count(F.when(F.col("side") == "home", _q(c))) > 0)
-                    & (F.count(F.when(F.col("side") == "away", _q(c))) > 0),
-                    F.max(F.when(F.col("side") == "home", _q(c)))
-                    + F.max(F.when(F.col("side") == "away", _q(c))),
-                ).alias(f"_sum_{i}")
-                for i, c in enumerate(possession)
-            ]
+        # The two rows of an event meet in one window, so the wide table is built once.
+        event = Window.partitionBy(key)
+
+        def of(side: str, name: str) -> Column:
+            return F.max(F.when(F.col("side") == side, _q(name))).over(event)
+
+        both = inside.select(
+            "*",
+            *[(of("home", c) + of("away", c)).alias(f"_sum_{i}") for i, c in enumerate(possession)],
+            F.row_number().over(event.orderBy("side")).alias("_place"),
         )
-        bad = sums.where(reduce(lambda a, b: a | b, [off_balance(F.col(f"_sum_{i}")) for i in range(len(possession))]))
         flags = {c: F.coalesce(off_balance(F.col(f"_sum_{i}")), F.lit(False)) for i, c in enumerate(possession)}
-        clean = inside.join(bad, key, "left").select(
-            *[
-                F.when(~flags[c], _q(c)).alias(c) if c in possession else _q(c)
-                for c in wide.columns
-            ]
-        )
-        listed = bad.select(
+        clean = both.select(*[F.when(~flags[c], _q(c)).alias(c) if c in possession else _q(c) for c in wide.columns])
+        listed = both.where("_place = 1").select(
             key,
             F.inline(
                 F.array(

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.odds import decimal_odds, expected_value
-from touchline.operators.aggregates import share_in_group
 from touchline.operators.joins import checked_join
 from touchline.operators.sets import keep_last, require_columns
 from touchline.sources.io import empty_table, read_by_suffix, write_table
@@ -47,7 +46,9 @@ def normalize_odds(odds: DataFrame, order: Sequence[str]) -> DataFrame:
         decimal_odds("odds", "odds_format").alias("decimal_odds"),
         (F.col("snapshot_utc") < F.col("kickoff_utc")).alias("is_prematch"),
     )
-    shared = share_in_group(priced, SNAPSHOT_KEYS, F.lit(1.0) / F.col("decimal_odds"), "no_vig_probability")
+    # A snapshot is a handful of quotes: one window, whose partitioning also serves the last quote per selection.
+    share = F.lit(1.0) / F.col("decimal_odds")
+    shared = priced.withColumn("no_vig_probability", share / F.sum(share).over(Window.partitionBy(*SNAPSHOT_KEYS)))
     return keep_last(shared, [*SNAPSHOT_KEYS, "selection"], order)
 
 
@@ -65,8 +66,11 @@ def edges(odds: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
-def import_odds(spark: SparkSession, source: str, target: str, order: Sequence[str] = ("odds",)) -> DataFrame:
-    """Read odds by file type, normalise, store the snapshot table."""
+def import_odds(spark: SparkSession, source: str, target: str, order: Sequence[str]) -> DataFrame:
+    """Read odds by file type, normalise, store the snapshot table.
+
+    ``order`` says which of several quotes for one selection is the last.
+    """
     write_table(normalize_odds(read_by_suffix(spark, source, ODDS_SCHEMA), order), target)
     return spark.read.parquet(target)
 

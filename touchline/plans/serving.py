@@ -154,11 +154,16 @@ def link_fixtures(
     cache: DataFrame,
     teams: DataFrame,
     hosts: Sequence[str],
+    *,
+    newest: str,
     url: str = "url",
 ) -> tuple[DataFrame, DataFrame]:
-    """Match links to fixtures; rejects keep their reason."""
+    """Match links to fixtures; rejects keep their reason.
+
+    Of several payloads of an event the one with the largest ``newest`` counts.
+    """
     parsed = links.select(url, link_event_id(url, hosts).alias("event_id"), link_problem(url, hosts).alias("_problem"))
-    known = payloads.groupBy("event_id").agg(F.max("payload").alias("payload"))
+    known = payloads.groupBy("event_id").agg(F.max_by("payload", F.struct(newest, "payload")).alias("payload"))
     live = parsed.join(known, "event_id", "left")
     found = first_available(live, cache, "event_id", "payload")
     country = teams.select(
