@@ -1,7 +1,7 @@
 """From raw documents to piece ids, in stages that each write what the next one reads.
 
-Each stage works on everything that the one before kept. A document without an id is kept or dropped by its own text;
-rows that repeat an id and a text are one document to the near-duplicate stage, which keeps or drops them together.
+Each stage works on everything that the one before kept. Rows that repeat an id and a text are one document to the
+near-duplicate stage, which keeps or drops them together; a document without an id goes if one with an id is its near copy.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ def quality(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """The document with the smallest id of each group of near copies."""
-    kept = near_dedup.near_duplicates(docs, percent=SIMILARITY).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = near_dedup.near_duplicates(docs, percent=SIMILARITY).where("kept")
+    kept = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
 
 
 def repeated_passages(spark, docs, sf_dir):

@@ -128,12 +128,13 @@ def signatures(docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
                     pa.array(np.arange(0, (last - first) * bands + 1, bands, dtype=np.int32)), pa.array(signed(values.reshape(-1)))
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, last - first), pa.array(sizes), pa.array(signed(key1)), pa.array(signed(key2)), lists],
-                    ["doc_id", "n_shingles", "key1", "key2", "bands"],
+                    [*(batch.column(c).slice(first, last - first) for c in ("doc_id", "text_key")),
+                     pa.array(sizes), pa.array(signed(key1)), pa.array(signed(key2)), lists],
+                    ["doc_id", "text_key", "n_shingles", "key1", "key2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, key1 long, key2 long, bands array<long>"
     )
 
 
@@ -222,7 +223,10 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, words: int
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable) and kept, one row per document."""
+    """doc_id, n_shingles, component_id (smallest id reachable), kept and a hash of the text, one row per document.
+
+    A document without an id is kept only if no document with one is in its component.
+    """
     signed_docs = keep(signatures(docs, percent, words), "signatures")
     grouped = signed_docs.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = keep(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -233,9 +237,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     rooted = classes.select("node", "rep", "key1", "key2").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = rooted.join(lowest, "root").select("key1", "key2", "component_id")
-    named = signed_docs.select("doc_id", "n_shingles", "key1", "key2").join(known, ["key1", "key2"], "left")
+    named = signed_docs.select("doc_id", "text_key", "n_shingles", "key1", "key2").join(known, ["key1", "key2"], "left")
     # An empty set shares no key with a class, but its own may; it stays alone either way.
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
