@@ -104,13 +104,63 @@ def packed_rows(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer(RANKS), public_tokenizers.PATTERN)
 
 
-@query("op6_near_dedup")
+OP6_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') as words from documents),
+s as (
+  select distinct doc_id, shingle from (
+    select doc_id, unnest(case when len(words) >= 5
+      then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+      when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingle from w)),
+n as (select doc_id, count(*) as n from s group by 1),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+ways as (select a, b from links union all select b, a from links),
+reach(doc_id, to_id) as (
+  select doc_id, doc_id from documents union select r.doc_id, w.b from reach r join ways w on w.a = r.to_id),
+least_id as (select doc_id, min(to_id) as component_id from reach group by 1)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join n on n.doc_id = d.doc_id join least_id l on l.doc_id = d.doc_id
+"""
+
+
+@query("op6_near_dedup", OP6_SQL)
 def near_duplicate_groups(spark, sf):
     """Component of near copies of every document."""
-    return near_dedup.near_duplicates(table(spark, sf, "documents"), percent=85)
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), percent=85).drop("text_key")
+
+
+OP3_SQL = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as hx, octet_length(encode(coalesce(text, ''))) as n_bytes from documents),
+windows as (
+  select doc_id, i, md5(substr(hx, 2 * i + 1, 400)) as h
+  from (select doc_id, hx, unnest(range(0, greatest(n_bytes - 199, 0))) as i from t)),
+again as (select doc_id, i from (select *, count(*) over (partition by h) as c from windows) where c > 1),
+marked as (
+  select *, case when i > lag(i) over (partition by doc_id order by i) + 200 then 1 else 0 end as fresh from again),
+runs as (
+  select doc_id, min(i) as a, max(i) + 200 as b from (
+    select *, sum(fresh) over (partition by doc_id order by i) as run from marked) group by doc_id, run),
+edges as (
+  select doc_id, 0 as place, 0 as kind from t union all select doc_id, b, 0 from runs
+  union all select doc_id, a, 1 from runs union all select doc_id, n_bytes, 1 from t),
+pieces as (
+  select doc_id, place as a, lead(place) over (partition by doc_id order by place, kind) as b, kind from edges),
+kept as (
+  select p.doc_id, string_agg(substr(hx, 2 * a + 1, 2 * (b - a)), '' order by a) as hx
+  from pieces p join t on t.doc_id = p.doc_id where kind = 0 group by 1),
+gone as (select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans from runs group by 1)
+select t.doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept.hx, ''))) as kept_sha256
+from t left join gone on gone.doc_id = t.doc_id left join kept on kept.doc_id = t.doc_id
+"""
 
 
-@query("op3_suffix_dedup")
+@query("op3_suffix_dedup", OP3_SQL)
 def repeated_passages(spark, sf):
     """What is left of every text without the strings of 200 bytes that occur elsewhere."""
     docs = suffixes.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
