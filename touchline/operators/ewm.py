@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.operators.ordered import SLICE, cut
+from touchline.operators.ordered import SLICE, sliced_once
 
 
 def _blocks(frames: Iterator[pd.DataFrame], keys: list[str]):
@@ -104,7 +104,7 @@ def ewm_features(
     """
     columns, order, keys = list(columns), list(order), list(row_key)
     names = [name.format(c=c, span=span) for c in columns]
-    needed = list(dict.fromkeys([team, *order, *keys]))
+    needed = list(dict.fromkeys([team, *order, *keys, *([SLICE] if SLICE in rows.columns else [])]))
     slim = rows.select(*needed, *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     vs = [f"v{i}" for i in range(len(columns))]
     result = T.StructType(
@@ -122,12 +122,12 @@ def ewm_features(
         sorted_rows = slim.repartition(team).sortWithinPartitions(team, *order)
         smoothed = sorted_rows.mapInPandas(lambda frames: run(frames, [team], None), result)
     else:
-        sliced = cut(slim, [team], order).sortWithinPartitions(team, *order)
+        sliced = sliced_once(slim, [team], order).sortWithinPartitions(team, *order)
         started = _slice_starts(sliced, team, vs, span)
         smoothed = started.sortWithinPartitions(team, *order).mapInPandas(
             lambda frames: run(frames, [SLICE, team], "s"), result
         )
-    if set(rows.columns) <= set(keys):
+    if set(rows.columns) <= {*keys, SLICE}:
         return smoothed
     return rows.join(smoothed, keys, "left")
 

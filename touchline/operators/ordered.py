@@ -35,6 +35,14 @@ def cut(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
+def sliced_once(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` itself where ``cut`` has already tagged it for this group and order, else its slices.
+
+    A plan with several steps over one ordering cuts once and drops the tag at its end.
+    """
+    return df if SLICE in df.columns else cut(df, group, order)
+
+
 def _carry_join(sliced: DataFrame, carry: DataFrame, group: Sequence[str]) -> DataFrame:
     """Attach per-slice carry columns; ``carry`` has at most one row per slice."""
     renamed = carry.select(
@@ -66,7 +74,7 @@ def running_totals(
         w = Window.partitionBy(*group).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in totals.items()])
-    sliced = cut(df, group, order)
+    sliced = sliced_once(df, group, order)
     summary = sliced.groupBy(*group, SLICE).agg(
         *[F.sum(e).alias(f"_before_{n}") for n, e in totals.items()]
     )
@@ -106,7 +114,7 @@ def carry_last(
         w = Window.partitionBy(*group).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    sliced = cut(df.withColumn("_value", value), group, order)
+    sliced = sliced_once(df.withColumn("_value", value), group, order)
     position = F.struct(*[F.col(c) for c in order])
     summary = sliced.groupBy(*group, SLICE).agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), position)).alias("_carried")
@@ -182,7 +190,7 @@ def over_recent(
         w = Window.partitionBy(*group).orderBy(*order)
         named = features(lambda n: w.rowsBetween(-n, -1), w)
         return df.select("*", *[c.alias(n) for n, c in named.items()])
-    sliced = _with_halo(cut(df, group, order), group, order, reach)
+    sliced = _with_halo(sliced_once(df, group, order), group, order, reach)
     w = Window.partitionBy(*group, SLICE).orderBy(*order)
     named = features(lambda n: w.rowsBetween(-n, -1), w)
     return (

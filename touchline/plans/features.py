@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from touchline.operators.ewm import ewm_features
 from touchline.operators.history import count_recent, prior_count, rolling_features
 from touchline.operators.joins import checked_join, with_opponent
+from touchline.operators.ordered import SLICE, cut
 from touchline.operators.perspective import matchup, playable
 from touchline.operators.sets import by_prefix, present
 
@@ -177,8 +178,9 @@ def feature_master(
         sources += [f"against_{c}" for c in stat_columns]
     flagged = base if "has_statistics" in base.columns else base.withColumn("has_statistics", F.lit(False))
     order = ["kickoff_utc", "event_id"]
+    ready = flagged if bounded else cut(flagged, ["team_id"], order)  # one cut for all steps over a team's history
     out = rolling_features(
-        flagged, sources, order=order, bounded=bounded,
+        ready, sources, order=order, bounded=bounded,
         flags={"prior_advanced_stats_count_10": ("has_statistics", 10)},
     )
     out = prior_count(out, "team_id", order, bounded=bounded)
@@ -186,7 +188,7 @@ def feature_master(
     if with_ewm:
         out = ewm_features(out, sources, order=order, bounded=bounded)
     shared = [c for c in out.columns if c.startswith(("rolling_", "ewm_", "trend_"))]
-    return with_opponent(out, shared, paired=True)
+    return with_opponent(out.drop(SLICE), shared, paired=True)
 
 
 def leakage_safe(master: DataFrame, targets: bool = False) -> DataFrame:

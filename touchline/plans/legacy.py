@@ -21,6 +21,7 @@ from touchline.functions.scalars import (
 from touchline.operators.ewm import ewm_features
 from touchline.operators.history import prior_count, prior_within_days, rolling_features, whole_day_gap
 from touchline.operators.joins import require_unique, with_opponent
+from touchline.operators.ordered import SLICE, cut
 from touchline.operators.perspective import knockout_fields, matchup
 from touchline.operators.sets import present, require_columns
 from touchline.plans.features import readable_aliases
@@ -122,7 +123,8 @@ def lagged_features(rows: DataFrame, bounded: bool = False) -> tuple[DataFrame,
     against = [f"{c}_against" for c in AGAINST_STATS if f"{c}_against" in rows.columns]
     goals = present(rows, ["goals_for", "goals_against", "goal_diff"])
     form = present(rows, [*FORM_STATS, *against])
-    before = set(rows.columns)
+    before = {*rows.columns, SLICE}
+    rows = rows if bounded else cut(rows, ["team"], ORDER)
     counted = list(dict.fromkeys([*statistics, *goals, *against]))
     means = list(dict.fromkeys([*statistics, *goals, *against]))
     out = rolling_features(
@@ -136,6 +138,7 @@ def lagged_features(rows: DataFrame, bounded: bool = False) -> tuple[DataFrame,
         rest=None, bounded=bounded,
     )
     out = ewm_features(out, form, team="team", order=ORDER, row_key=["event_id", "team"], bounded=bounded)
+    out = out.drop(SLICE)
     return out, [c for c in out.columns if c not in before]
 
 
