@@ -18,6 +18,7 @@ null ids are allowed; extra columns pass through (one called like an output colu
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ from pyspark.sql import types as T
 from touchline.llm.words import SLICE_BYTES, U64, mix, powers, signed, slices, text_bytes
 
 WIDTH = 200
-GRAM = 80
+GRAM = 74
 OFTEN = 20_000  # an anchor with more occurrences is dealt by a longer string
 STEP = 8  # window starts that such a string serves
 TASK_BYTES = 1 << 20
 _PLACE = (1 << 24) - 1
+_OFTEN = 1 << 15  # in a place: the anchor is dealt by a longer string
 SEGMENT = "key long, g1 long, g2 long, segment binary, times long"
 OWNER = "id long, th int, start long, n int, g1 long, g2 long"
 
@@ -89,6 +91,8 @@ def _parts(data: np.ndarray, offsets: np.ndarray, width: int):
 
 def anchor_rows(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per segment; ``place`` holds its start, number of windows and distance to the anchor."""
+    if width - gram + 1 > 127:
+        raise ValueError("at most 127 windows share an anchor: choose a longer gram")
 
     def run(batches):
         for batch in batches:
@@ -112,16 +116,15 @@ def _cut(batches, width: int):
         offsets = lists.offsets.to_numpy()
         flat = lists.values
         places, hashes = flat.field("place").to_numpy(), flat.field("h").to_numpy()
-        often = flat.field("often").to_numpy(zero_copy_only=False)
         found = []
         for row in range(batch.num_rows):
             a, b = offsets[row], offsets[row + 1]
             if a == b or not texts[row].is_valid:
                 continue
             raw = texts[row].as_py().encode()
-            starts, counts, aways = places[a:b] >> 16, places[a:b] >> 8 & 255, places[a:b] & 255
-            for start, n, away, key, split in zip(starts.tolist(), counts.tolist(), aways.tolist(), hashes[a:b].tolist(), often[a:b].tolist(), strict=True):
-                if not split:
+            for place, key in zip(places[a:b].tolist(), hashes[a:b].tolist(), strict=True):
+                start, n, away = place >> 16, place >> 8 & 127, place & 127
+                if not place & _OFTEN:
                     found.append((row, key, start, n, raw[start : start + n - 1 + width]))
                     continue
                 anchor, stop = start + away, start + n
@@ -151,7 +154,7 @@ def segments(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
             _, first, times = np.unique(np.stack([g1, g2], axis=1), axis=0, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([found[i][1] for i in first], pa.int64()), pa.array(g1[first]), pa.array(g2[first]),
-                 pa.array([found[i][4] for i in first], pa.binary()), pa.array(times.astype(np.int64))],
+                 pa.array([zlib.compress(found[i][4], 1) for i in first], pa.binary()), pa.array(times.astype(np.int64))],
                 ["key", "g1", "g2", "segment", "times"],
             )
 
@@ -286,8 +289,8 @@ def repeated_segments(rows: DataFrame, width: int = WIDTH) -> DataFrame:
                 if group and group[-1][0] == g1 and group[-1][1] == g2:
                     group[-1][3] += times
                 else:
-                    group.append([g1, g2, segment, times])
-                    held += len(segment)
+                    group.append([g1, g2, zlib.decompress(segment), times])
+                    held += len(group[-1][2])
         done += group
         if done:
             yield from solve(done)
@@ -308,12 +311,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, often:
     texts = keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
     rows = anchor_rows(texts, width, gram)
     repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > often).alias("often"))
-    placed = rows.join(repeated, "h").groupBy("id", "th").agg(F.collect_set(F.struct("place", "h", "often")).alias("places"))
+    place = F.col("place").bitwiseOR(F.when(F.col("often"), F.lit(_OFTEN)).otherwise(F.lit(0)).cast("long"))
+    # Plain rows travel lighter than the sets they become.
+    some = rows.join(repeated, "h").select("id", "th", place.alias("place"), "h").repartition("id", "th")
+    placed = some.groupBy("id", "th").agg(F.collect_set(F.struct("place", "h")).alias("places"))
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))
     candidates = keyed.join(placed, same)
     marked = repeated_segments(segments(candidates, width), width)
     found = owners(candidates, width).join(marked, ["g1", "g2"])
-    by_document = found.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "marks")).alias("_found"))
+    by_document = found.select("id", "th", "start", "n", "marks").repartition("id", "th").groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "marks")).alias("_found"))
     joined = keyed.join(by_document, same, "left").select(*names, "_found")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([*kept.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
