@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.spread import keep
+from touchline.llm.spread import keep, least_by_hash
 from touchline.llm.words import U64, hashed_words, slices, text_bytes
 
 MOST_LABELLED = 20_000
@@ -137,7 +137,7 @@ def scored(rows: DataFrame, weights: np.ndarray, offset: float) -> Column:
 def learn(rows: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.3, most: int = MOST_LABELLED) -> tuple[np.ndarray, float]:
     """Weights and offset from the labelled documents among the featured ``rows``; held-out labels are not read."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("y"))
-    sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("features", "y").collect()
+    sample = least_by_hash(rows.join(known, "doc_id"), most).select("features", "y").collect()
     good = np.array([r["y"] == 1 for r in sample], dtype=bool)
     if good.any() and not good.all():
         return fit(np.array([r["features"] for r in sample], dtype=np.float64), good, cut)

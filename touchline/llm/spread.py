@@ -18,6 +18,19 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def least_by_hash(df: DataFrame, most: int, rows: int | None = None) -> DataFrame:
+    """At most ``most`` rows, those whose hash of doc_id is least.
+
+    A share of the hash range that holds somewhat more rows is cut out first, so tasks don't each
+    hand over as many rows as the whole sample. ``rows`` is the number of rows, if known.
+    """
+    span = 1 << 30
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(span))
+    rows = df.count() if rows is None else rows
+    some = df.where(place < int(min(1.0, 1.5 * most / max(rows, 1) + 100 / max(rows, 1)) * span))
+    return some.orderBy(place, "doc_id").limit(most)
+
+
 def _fixed(df: DataFrame) -> tuple[DataFrame, tuple]:
     shared_dir(df.sparkSession)
     out = df.checkpoint(eager=True)

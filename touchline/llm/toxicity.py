@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.ranker import held_out
-from touchline.llm.spread import keep
+from touchline.llm.spread import keep, least_by_hash
 from touchline.llm.words import LOWER, U64, mix, powers, slices, spans, text_bytes
 
 MOST_TOXIC = 4_000
@@ -84,11 +84,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TO
     """doc_id, held_out, score and predicted of every document; labels of the held-out part are never read."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = own.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    confirmed = own.where("toxic = 1").orderBy(*by_hash).limit(most_toxic).select("doc_id", F.lit(1).alias("y"))
+    confirmed = least_by_hash(own.where("toxic = 1"), most_toxic).select("doc_id", F.lit(1).alias("y"))
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rest = known.where(~held_out()).join(own.where("toxic = 1"), "doc_id", "left_anti").select("doc_id").distinct()
-    others = rest.orderBy(*by_hash).limit(most_unlabelled).select("doc_id", F.lit(0).alias("y"))
+    others = least_by_hash(rest, most_unlabelled, docs.count()).select("doc_id", F.lit(0).alias("y"))
     # At most most_toxic + most_unlabelled ids: a bounded table.
     sample = known.join(F.broadcast(confirmed.unionByName(others)), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"))
 
