@@ -3,12 +3,13 @@
 Fit. Passages of ``PASSAGE`` words of all documents are rows of a TF-IDF matrix A over hashed words. One pass gives the
 document frequencies and the sketch A'A X for a random X; with the frequencies known afterwards, a Nystrom step turns it
 into the leading singular vectors, which are then centred and whitened over the corpus. The rest of the row, mostly rare
-words, is kept as a random projection: the singular vectors alone can't tell passages of one topic apart. A task sends its sums once; sums are added in two levels and have a fixed size.
+words, is kept as a random projection: the singular vectors alone can't tell passages of one topic apart. A task sends
+its sums once; sums are added in two levels and have a fixed size.
 
-Search. Short windows of a document and of each benchmark item are projected. Windows whose
-sign codes differ in at most one bit are candidates, and those with a cosine of ``COSINE`` or more go on. Document
-windows do not overlap, item windows start at every word, so an unbroken run of ``2 * WINDOW + 1`` item words always
-holds one equal window; items shorter than that are compared with windows at every word.
+Search. Short windows of a document and of each benchmark item are projected. Windows whose sign codes differ in at most
+one bit are candidates, and those with a cosine of ``COSINE`` or more go on. Document windows do not overlap, item windows
+start at every word, so ``2 * WINDOW - 1`` item words in a row always hold one equal window; items of up to
+``2 * WINDOW`` words are compared with windows at every word.
 
 Check. The longest common subsequence of the item and the words around the window must hold ``COMMON`` of the item, or
 ``PARAPHRASE`` of it and the item's whole answer (its last sentence, or last third) in order.
