@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ STEP = 8  # window starts that such a string serves
 TASK_BYTES = 1 << 20
 _PLACE = (1 << 24) - 1
 _OFTEN = 1 << 15  # in a place: the anchor is dealt by a longer string
-SEGMENT = "key long, g1 long, g2 long, segment binary, times long"
+SEGMENT = "key long, segment binary, times long"
 OWNER = "id long, th int, start long, n int, g1 long, g2 long"
 
 
@@ -139,8 +140,15 @@ def _cut(batches, width: int):
             yield batch, found
 
 
-def _names(found):
-    digests = b"".join(hashlib.blake2b(x[4], digest_size=16).digest() for x in found)
+def _packed(segment: bytes) -> bytes:
+    """Raw deflate: equal segments stay equal, and short ones carry no header."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return pack.compress(segment) + pack.flush()
+
+
+def _names(segments):
+    """128-bit names of segments: they travel only with places and marks, a segment itself is sorted by its bytes."""
+    digests = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in segments)
     both = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
@@ -150,12 +158,11 @@ def segments(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches):
         for _, found in _cut(batches, width):
-            g1, g2 = _names(found)
-            _, first, times = np.unique(np.stack([g1, g2], axis=1), axis=0, return_index=True, return_counts=True)
+            times = Counter((key, segment) for _, key, _, _, segment in found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([found[i][1] for i in first], pa.int64()), pa.array(g1[first]), pa.array(g2[first]),
-                 pa.array([zlib.compress(found[i][4], 1) for i in first], pa.binary()), pa.array(times.astype(np.int64))],
-                ["key", "g1", "g2", "segment", "times"],
+                [pa.array([key for key, _ in times], pa.int64()), pa.array([_packed(x) for _, x in times], pa.binary()),
+                 pa.array(list(times.values()), pa.int64())],
+                ["key", "segment", "times"],
             )
 
     return candidates.mapInArrow(run, SEGMENT)
@@ -167,7 +174,7 @@ def owners(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         for batch, found in _cut(batches, width):
             rows = pa.array([x[0] for x in found])
-            g1, g2 = _names(found)
+            g1, g2 = _names(x[4] for x in found)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(rows), batch.column("th").take(rows),
                  pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int32()), pa.array(g1), pa.array(g2)],
@@ -269,33 +276,33 @@ def repeated_segments(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """(g1, g2, marks): for every segment with a repeated window, one bit per window."""
 
     def solve(batch):
-        marks = repeated_starts([x[2] for x in batch], [x[3] for x in batch], width)
-        found = [(x[0], x[1], np.packbits(m).tobytes()) for x, m in zip(batch, marks, strict=True) if m.any()]
+        marks = repeated_starts([x[1] for x in batch], [x[2] for x in batch], width)
+        found = [(x[1], np.packbits(m).tobytes()) for x, m in zip(batch, marks, strict=True) if m.any()]
         if found:
-            g1, g2, bits = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(bits, pa.binary())], ["g1", "g2", "marks"])
+            g1, g2 = _names(x for x, _ in found)
+            yield pa.RecordBatch.from_arrays([pa.array(g1), pa.array(g2), pa.array([b for _, b in found], pa.binary())], ["g1", "g2", "marks"])
 
     def run(batches):
         done, group, held, key = [], [], 0, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "g1", "g2", "segment", "times")]
-            for k, g1, g2, segment, times in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("key", "segment", "times")]
+            for k, packed, times in zip(*columns, strict=True):
                 if k != key:
                     done += group
                     group, key = [], k
                     if held >= TASK_BYTES:
                         yield from solve(done)
                         done, held = [], 0
-                if group and group[-1][0] == g1 and group[-1][1] == g2:
-                    group[-1][3] += times
+                if group and group[-1][0] == packed:
+                    group[-1][2] += times
                 else:
-                    group.append([g1, g2, zlib.decompress(segment), times])
-                    held += len(group[-1][2])
+                    group.append([packed, zlib.decompress(packed, -15), times])
+                    held += len(group[-1][1])
         done += group
         if done:
             yield from solve(done)
 
-    dealt = rows.repartition("key").sortWithinPartitions("key", "g1", "g2")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "segment")
     return dealt.mapInArrow(run, "g1 long, g2 long, marks binary")
 
 
@@ -311,9 +318,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, often:
     texts = keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
     rows = anchor_rows(texts, width, gram)
     repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > often).alias("often"))
+    # Under another key the counts get an exchange of their own, which lets the join split a frequent anchor.
+    other = F.col("h").bitwiseXOR(F.lit(_PLACE))
+    repeated, rows = repeated.select(other.alias("_k"), "often"), rows.withColumn("_k", other)
     place = F.col("place").bitwiseOR(F.when(F.col("often"), F.lit(_OFTEN)).otherwise(F.lit(0)).cast("long"))
     # Plain rows travel lighter than the sets they become.
-    some = rows.join(repeated, "h").select("id", "th", place.alias("place"), "h").repartition("id", "th")
+    some = rows.join(repeated, "_k").select("id", "th", place.alias("place"), "h").repartition("id", "th")
     placed = some.groupBy("id", "th").agg(F.collect_set(F.struct("place", "h")).alias("places"))
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))
     candidates = keyed.join(placed, same)
