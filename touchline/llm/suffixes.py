@@ -37,7 +37,7 @@ TASK_BYTES = 1 << 20
 _PLACE = (1 << 24) - 1
 _OFTEN = 1 << 15  # in a place: the anchor is dealt by a longer string
 SEGMENT = "key long, segment binary, times long"
-OWNER = "id long, th int, start long, n int, g1 long, g2 long"
+OWNER = "g1 long, g2 long, n int, places array<struct<id:long,th:int,start:long>>"
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -169,16 +169,23 @@ def segments(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def owners(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Which document and place each candidate segment belongs to."""
+    """The documents and places of each candidate segment, equal segments of a batch as one row."""
 
     def run(batches):
         for batch, found in _cut(batches, width):
-            rows = pa.array([x[0] for x in found])
             g1, g2 = _names(x[4] for x in found)
+            order = np.lexsort((g2, g1))
+            g1, g2 = g1[order], g2[order]
+            first = np.flatnonzero(np.concatenate([[True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])]))
+            rows = pa.array([found[i][0] for i in order])
+            places = pa.StructArray.from_arrays(
+                [batch.column("id").take(rows), batch.column("th").take(rows), pa.array([found[i][2] for i in order], pa.int64())],
+                ["id", "th", "start"],
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), batch.column("th").take(rows),
-                 pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int32()), pa.array(g1), pa.array(g2)],
-                ["id", "th", "start", "n", "g1", "g2"],
+                [pa.array(g1[first]), pa.array(g2[first]), pa.array([found[i][3] for i in order[first]], pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), places)],
+                ["g1", "g2", "n", "places"],
             )
 
     return candidates.mapInArrow(run, OWNER)
@@ -329,7 +336,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, often:
     candidates = keyed.join(placed, same)
     marked = repeated_segments(segments(candidates, width), width)
     found = owners(candidates, width).join(marked, ["g1", "g2"])
-    by_document = found.select("id", "th", "start", "n", "marks").repartition("id", "th").groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "marks")).alias("_found"))
+    by_document = found.select("n", "marks", F.inline("places")).repartition("id", "th").groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "marks")).alias("_found"))
     joined = keyed.join(by_document, same, "left").select(*names, "_found")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([*kept.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
