@@ -124,6 +124,19 @@ def test_gradients_against_differences():
         assert g[name].reshape(-1)[at] == pytest.approx((up - down) / (2 * size), abs=1e-5), name
 
 
+def test_short_cuts_equal_the_plain_forward_pass():
+    model = attention.Model(np.ones(200))
+    ids, alone, targets, *_ = attention.blocks([list(range(150)), [3] * 70], 0)
+    top = model.forward(ids, alone)[-1]
+    np.testing.assert_allclose(model.hidden(ids, alone), top, rtol=1e-4, atol=1e-5)
+    classes = model.classes[targets.reshape(-1)]
+    plain = model.log_probabilities(top)[np.arange(len(classes)), classes]
+    np.testing.assert_allclose(model.class_logs(top, classes), plain, rtol=1e-4, atol=1e-5)
+    model.p["out"] = model.p["out"] * 1000  # rows on very different scales
+    plain = model.log_probabilities(top)[np.arange(len(classes)), classes]
+    np.testing.assert_allclose(model.class_logs(top, classes), plain, rtol=1e-4, atol=1e-2)
+
+
 def test_windows_score_each_id_once_and_causally():
     model = attention.Model(np.ones(50))
     texts = [[], [5], list(range(1, 40)), [7] * 200]
