@@ -6,21 +6,23 @@ into the leading singular vectors, which are then centred and whitened over the
 words, is kept as a random projection: the singular vectors alone can't tell passages of one topic apart. A task sends
 its sums once; sums are added in two levels and have a fixed size.
 
-Search. Short windows of a document and of each benchmark item are projected. Windows whose sign codes differ in at most
-one bit are candidates, and those with a cosine of ``COSINE`` or more go on. Document windows do not overlap, item windows
-start at every word, so ``2 * WINDOW - 1`` item words in a row always hold one equal window; items of up to
-``2 * WINDOW`` words are compared with windows at every word.
+Search. Windows of ``WINDOW`` words, at every word of a document and of each benchmark item, are projected; every pair with
+a cosine of ``COSINE`` or more is a candidate. Only places where the check could succeed are projected: it needs
+``PARAPHRASE`` of the item, so of any larger share of the item's words (the rarest are taken) a known number must stand
+in the run of words that is checked. Nothing that the cosine and the check accept is left out by that.
 
 Check. The longest common subsequence of the item and the words around the window must hold ``COMMON`` of the item, or
 ``PARAPHRASE`` of it and the item's whole answer (its last sentence, or last third) in order.
 
 The benchmark is the stated query set; it is taken in blocks of ``BLOCK_ITEMS`` items. Defined results: null and empty
-texts match nothing, nor do items without id or text; repeated rows match alike; of equal matches of one item the first
-counts; extra columns pass through (one called like an output column is replaced).
+texts match nothing, nor do items without id or text; repeated rows match alike; of the matches of one item the one with
+most in common counts, of equal ones the first; extra columns pass through (one called like an output column is replaced).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,8 @@ COSINE = 0.75
 COMMON, PARAPHRASE = 0.8, 0.5
 BLOCK_ITEMS = 20_000
 ROWS_BLOCK = 256
+GROUP_ITEMS = 1_000  # items that are looked up together
+STRETCH, RANGE = 2_048, 1 << 18  # words that are projected, and looked up, at a time
 MATCH = T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("common", T.DoubleType()), T.StructField("answer", T.BooleanType()),
     T.StructField("cosine", T.DoubleType()), T.StructField("word", T.LongType()),
@@ -128,30 +132,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def _codes(rows: np.ndarray) -> np.ndarray:
-    """The signs of the coordinates that rare words decide."""
-    bits = (rows[:, RANK:] > 0).reshape(len(rows), REST // 8, 8)
-    return np.packbits(bits, axis=2, bitorder="little").reshape(len(rows), -1).astype(np.int64) @ (1 << np.arange(0, REST, 8, dtype=np.int64))
-
-
-def _every_window(latent: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over each run of ``width`` rows that stays in its text, and where it starts."""
-    start = np.arange(max(0, len(latent) - width + 1))
-    ends = np.repeat(at[1:], np.diff(at))[: len(start)]
-    start = start[start + width <= ends]
-    sums = np.zeros((len(start), latent.shape[1]), dtype=np.float32)
-    for k in range(width):
-        sums += latent[start + k]
-    return sums, start
-
-
-def _blocks(latent: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over consecutive windows of ``WINDOW`` rows of each text; a shorter rest is left to its neighbours."""
-    sizes = np.diff(at)
-    inside = np.arange(len(latent)) - np.repeat(at[:-1], sizes)
-    whole = np.repeat(at[:-1] + sizes // WINDOW * WINDOW, sizes) > np.arange(len(latent))
-    start = np.flatnonzero(whole & (inside % WINDOW == 0))
-    return latent[whole].reshape(-1, WINDOW, latent.shape[1]).sum(axis=1), start
+def _windows(latent: np.ndarray, width: int) -> np.ndarray:
+    """Unit sums over each run of ``width`` rows."""
+    n = len(latent) - width + 1
+    sums = latent[:n].copy()
+    for k in range(1, width):
+        sums += latent[k : k + n]
+    return _unit(sums)
 
 
 def common_words(item: list[int], words: list[int]) -> int:
@@ -167,6 +154,30 @@ def common_words(item: list[int], words: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
+class Anchors:
+    """The items, of a few of them, that hold each of their rarer words."""
+
+    def __init__(self, items: list[int], words: list[np.ndarray]):
+        word = np.concatenate(words)
+        item = np.repeat(np.array(items, dtype=np.int64), [len(w) for w in words])
+        order = np.argsort(word, kind="stable")
+        self.items = item[order]
+        self.keys, self.begin, self.times = np.unique(word[order], return_index=True, return_counts=True)
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[self.keys >> U64(44)] = True
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every (item, place of one of its words), in order."""
+        at = np.flatnonzero(self.maybe[hashes >> U64(44)])
+        key = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+        own = self.keys[key] == hashes[at]
+        at, key = at[own], key[own]
+        times = self.times[key]
+        nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        both = np.sort(self.items[np.repeat(self.begin[key], times) + nth] << 32 | np.repeat(at, times))
+        return both >> 32, both & 0xFFFFFFFF
+
+
 class Items:
     """A block of benchmark items as windows in the latent space."""
 
@@ -175,22 +186,15 @@ class Items:
         hashes, at = hashed_words(data, offsets)
         self.ids, self.projection = ids, projection
         self.words = [hashes[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
-        latent = projection[_terms(hashes)]
-        sizes = np.diff(at)
-        self.groups = []
-        for width in sorted({WINDOW} | {int(n) for n in sizes if 0 < n < WINDOW}):
-            sums, start = _every_window(latent, at, width)
-            item = np.searchsorted(at, start, side="right") - 1
-            short = (sizes[item] < 2 * WINDOW + 1) & ((sizes[item] >= WINDOW) if width == WINDOW else (sizes[item] == width))
-            for every, own in ((True, short), (False, (sizes[item] >= 2 * WINDOW + 1) & (width == WINDOW))):
-                if own.any():
-                    rows = _unit(sums[own])
-                    near = np.zeros(1 << REST, dtype=bool)
-                    codes = _codes(rows)
-                    near[codes] = True
-                    for bit in range(REST):
-                        near[codes ^ (1 << bit)] = True
-                    self.groups.append((width, every, rows, item[own], start[own] - at[item[own]], near))
+        self.widths = np.minimum(np.diff(at), WINDOW)
+        self.slack = np.maximum(4, np.diff(at) // 4)
+        self.reach = np.diff(at) + 2 * self.slack
+        own = [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        self.rows = [_windows(projection[_terms(w)], int(n)) if n else None for w, n in zip(own, self.widths, strict=True)]
+        self.sought = [np.unique(w) for w in own]
+        self.vocabulary = np.unique(hashes)
+        self.numbers = [np.searchsorted(self.vocabulary, w) for w in own]
+        self.seen, self.slices = np.zeros(len(self.vocabulary), dtype=np.int64), 0
         self.answers = [self._answer(text, words) for text, words in zip(texts, self.words, strict=True)]
 
     @staticmethod
@@ -199,30 +203,91 @@ class Items:
         n = len(last) if 3 <= len(last) <= len(words) // 2 else max(1, len(words) // 3)
         return words[-n:]
 
+    def _choose(self, hashes: np.ndarray) -> None:
+        """Take the words for the look-up that are rare in the texts so far; any choice finds the same."""
+        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        self.seen += np.bincount(place[self.vocabulary[place] == hashes], minlength=len(self.vocabulary))
+        self.slices += 1
+        if self.slices & (self.slices - 1):
+            return
+        self.hits = np.ones(len(self.words), dtype=np.int64)
+        anchors = []
+        for k, numbers in enumerate(self.numbers):
+            # At most n - least words of a confirmed item are missing, so of ``hits`` words more than that ``hits`` are there.
+            n, least = len(numbers), math.ceil(PARAPHRASE * len(numbers))
+            self.hits[k] = max(1, min(least, n // 4))
+            rarest = np.argsort(self.seen[numbers], kind="stable")[: n - least + int(self.hits[k])]
+            anchors.append(self.vocabulary[np.unique(numbers[rarest])])
+        filled = [k for k, words in enumerate(self.words) if words]
+        parts = [filled[k : k + GROUP_ITEMS] for k in range(0, len(filled), GROUP_ITEMS)]
+        self.groups = [Anchors(part, [anchors[k] for k in part]) for part in parts]
+
     def search(self, hashes: np.ndarray, at: np.ndarray) -> list[dict[int, dict]]:
         """Confirmed items of each text."""
         found: list[dict[int, dict]] = [{} for _ in range(len(at) - 1)]
-        if not len(hashes):
+        if not len(hashes) or not len(self.vocabulary):
             return found
-        latent = self.projection[_terms(hashes)]
-        for width, every, rows, items, places, near in self.groups:
-            sums, start = _every_window(latent, at, width) if every else _blocks(latent, at)
-            some = np.flatnonzero(near[_codes(sums)])
-            for part in np.array_split(some, len(some) // 512 + 1):
-                cosine = _unit(sums[part]) @ rows.T
-                for w, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    word, item = int(start[part[w]]), int(items[k])
-                    text = int(np.searchsorted(at, word, side="right") - 1)
-                    if item not in found[text]:
-                        match = self._confirm(hashes, int(at[text]), int(at[text + 1]), word, int(places[k]), item)
-                        if match:
-                            found[text][item] = match | {"cosine": float(cosine[w, k])}
+        self._choose(hashes)
+        most = int(self.reach.max(initial=0))
+        for first in range(0, len(hashes), RANGE):
+            for group in self.groups:
+                for item, text, low, high in self._stretches(group, hashes[first : first + RANGE + most], first, at):
+                    self._compare(hashes, int(at[text]), int(at[text + 1]), low, high, item, found[text])
         return found
 
-    def _confirm(self, hashes: np.ndarray, low: int, high: int, word: int, place: int, item: int) -> dict | None:
+    def _stretches(self, group: Anchors, hashes: np.ndarray, first: int, at: np.ndarray):
+        """(item, text, first word, end) of all stretches with a run of words that may hold enough of an item."""
+        item, place = group.places(hashes)
+        last = np.arange(len(item)) + self.hits[item] - 1
+        some = np.flatnonzero(last < len(item))
+        last = last[some]
+        some, last = (x[(item[last] == item[some]) & (place[last] - place[some] < self.reach[item[some]])] for x in (some, last))
+        item, begin, end = item[some], place[some] + first, place[last] + first
+        text = np.searchsorted(at, begin, side="right") - 1
+        one = end < at[text + 1]
+        item, begin, end, text = item[one], begin[one], end[one], text[one]
+        low = np.maximum(at[text], end - self.reach[item] + 1)
+        high = np.minimum(at[text + 1], begin + self.reach[item])
+        held = None
+        for now in zip(item.tolist(), text.tolist(), low.tolist(), high.tolist(), strict=True):
+            if held and now[:2] == held[:2] and now[2] <= held[3] and now[3] - held[2] <= STRETCH:
+                held = (*held[:3], max(held[3], now[3]))
+                continue
+            if held:
+                yield held
+            held = now
+        if held:
+            yield held
+
+    def _compare(self, hashes: np.ndarray, begin: int, end: int, low: int, high: int, item: int, found: dict[int, dict]) -> None:
+        """Put the best match of an item in a stretch of a text into ``found``."""
+        width = int(self.widths[item])
+        if high - low < width:
+            return
+        # No more words can be common to a run and the item than words of the run are in the item: cheaper to know.
+        sought, words = self.sought[item], hashes[low:high]
+        own = sought[np.minimum(np.searchsorted(sought, words), len(sought) - 1)] == words
+        before = np.concatenate([[0], np.cumsum(own)])
+        reach, least = int(self.reach[item]), math.ceil(PARAPHRASE * len(self.words[item]))
+        if (before[-1] if high - low <= reach else (before[reach:] - before[:-reach]).max()) < least:
+            return
+        cosine = _windows(self.projection[_terms(words)], width) @ self.rows[item].T
+        word, place = np.nonzero(cosine >= COSINE)
+        shifts: dict[int, float] = {}
+        for shift, value in zip((low + word - place).tolist(), cosine[word, place].tolist(), strict=True):
+            shifts[shift] = max(value, shifts.get(shift, -1.0))
+        for shift in sorted(shifts):
+            a = shift - int(self.slack[item]) - low
+            if before[min(high - low, a + reach)] - before[max(0, a)] < least and a >= 0 and a + reach <= high - low:
+                continue
+            match = self._confirm(hashes, begin, end, shift, item)
+            if match and (item not in found or match["common"] > found[item]["common"]):
+                found[item] = match | {"cosine": shifts[shift]}
+
+    def _confirm(self, hashes: np.ndarray, low: int, high: int, shift: int, item: int) -> dict | None:
         own = self.words[item]
-        slack = max(4, len(own) // 4)
-        a, b = max(low, word - place - slack), min(high, word - place + len(own) + slack)
+        slack = int(self.slack[item])
+        a, b = max(low, shift - slack), min(high, shift + len(own) + slack)
         around = hashes[a:b].tolist()
         share = common_words(own, around) / len(own)
         answer = self.answers[item]
