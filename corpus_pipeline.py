@@ -1,11 +1,13 @@
 """From raw documents to piece ids, in stages that each write what the next one reads.
 
-Each stage works on everything that the one before kept. Rows that repeat an id and a text are one document to the
-near-duplicate stage, which keeps or drops them together; a document without an id goes if one with an id is its near copy.
+Each stage works on everything that the one before kept. The near-duplicate stage keeps exactly one row of each group, also
+of rows that repeat an id and of documents without an id; a document without an id goes if one with an id is its near copy.
+Texts without words are in no group and stay.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.llm import decontaminate, near_dedup, pieces, ranker, suffixes
@@ -24,10 +26,19 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """The document with the smallest id of each group of near copies."""
-    found = near_dedup.near_duplicates(docs, percent=SIMILARITY).where("kept")
-    kept = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    """One row of each group of near copies: the smallest id, then the least hash of the text and of the whole row."""
+    found = near_dedup.components_of(docs, percent=SIMILARITY).where(F.col("kept") & F.col("root").isNotNull())
+    first = found.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("text_key").alias("_key"))
+    kept = first.select(F.coalesce("_id", F.lit(0)).alias("_id"), F.col("_id").isNull().alias("_no_id"), "_key")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Rows that are equal in everything are interchangeable, so a hash of the row is key enough.
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.where(worded).withColumns({
+        "_id": F.coalesce(id_, F.lit(0)), "_no_id": id_.isNull(), "_key": F.xxhash64("text"), "_row": F.xxhash64(*docs.columns),
+    })
+    order = Window.partitionBy("_id", "_no_id", "_key").orderBy("_row")
+    single = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return single.join(kept, ["_id", "_no_id", "_key"], "left_semi").select(docs.columns).unionByName(docs.where(~worded))
 
 
 def repeated_passages(spark, docs, sf_dir):

@@ -227,6 +227,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
 
     A document without an id is kept only if no document with one is in its component.
     """
+    return components_of(docs, percent, words).drop("root")
+
+
+def components_of(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
+    """``near_duplicates`` and a number of the component (``root``), null for a text without words."""
     signed_docs = keep(signatures(docs, percent, words), "signatures")
     grouped = signed_docs.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = keep(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -236,10 +241,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     found = components(verified_links(docs, members, percent, words))
     rooted = classes.select("node", "rep", "key1", "key2").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = rooted.join(lowest, "root").select("key1", "key2", "component_id")
+    known = rooted.join(lowest, "root").select("key1", "key2", "component_id", "root")
     named = signed_docs.select("doc_id", "text_key", "n_shingles", "key1", "key2").join(known, ["key1", "key2"], "left")
     # An empty set shares no key with a class, but its own may; it stays alone either way.
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").withColumn(
+    root = F.when(F.col("n_shingles") > 0, F.col("root"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", root.alias("root")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
