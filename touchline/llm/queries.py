@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import attention, chat, decontaminate, near_dedup, packing, pieces, quality_rules, ranker, suffixes, toxicity
+from touchline.llm import (
+    attention, chat, decontaminate, infill, languages, near_dedup, packing, pieces, quality_rules, ranker, spelling, suffixes, toxicity,
+)
 from touchline.session import configure
 
 QUERIES = {}
@@ -205,3 +207,51 @@ def language_model_scores(spark, sf):
     import public_tokenizers
 
     return attention.score_texts(table(spark, sf, "documents"), tokenizer(RANKS), public_tokenizers.PATTERN)
+
+
+OP11_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || doc_id) as h from documents),
+u as (
+  select doc_id, text, length(text)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from t),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form from u),
+p as (
+  select *, substring(text, 1, a) as x, substring(text, a + 1, b - a) as y, substring(text, b + 1, n - b) as z from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y when 'spm' then '<S>' || z || '<P>' || x || '<M>' || y
+    else text end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def rearranged_texts(spark, sf):
+    """Digest of every text rearranged for infilling, and of the text restored from that."""
+    made = infill.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(F.encode(text, "utf-8"), 256)
+    return made.select(
+        "doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix").alias("prefix_chars"),
+        F.col("fim_middle").alias("middle_chars"), digest(F.col("fim_output")).alias("output_sha256"),
+        digest(infill.restore()).alias("restored_sha256"),
+    )
+
+
+@query("op12_language_id")
+def language_of_texts(spark, sf):
+    """Language of every text by its nearest centroid."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = languages.learn(docs.where(~F.col("held_out")))
+    named = languages.identify(docs.drop("lang"), model)
+    return named.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+@query("op13_spelling_variants")
+def spelling_groups(spark, sf):
+    """Every frequent word with its near words, its form and the last form."""
+    words = spelling.word_counts(table(spark, sf, "documents"), slip_every=97)
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
