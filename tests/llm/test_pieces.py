@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 
 import numpy as np
 import public_tokenizers
@@ -88,6 +89,40 @@ def test_ids_are_committed_before_the_text_ends():
     assert b"".join(vocab.joined[vocab.starts[i] : vocab.starts[i] + vocab.lengths[i]].tobytes() for i in whole) == b"x" * 3000
 
 
+@pytest.mark.parametrize("run", ["-", "=", "a", " ", "-. ", "abcdefgh"])
+def test_time_of_long_runs_is_linear(unigram, run):
+    vocab = pieces.Vocabulary(MODEL)
+    scores = {i: s for i, s in vocab.scores.values()}
+    text = run * (3000 // len(run))
+    mine, theirs = np.frombuffer(vocab.encode(text), dtype=np.int32).tolist(), unigram.encode(text)
+    assert sum(scores.get(i, 0) for i in mine) == pytest.approx(sum(scores.get(i, 0) for i in theirs), abs=0.05)
+    begun = time.process_time()
+    ids = np.frombuffer(vocab.encode(run * (200_000 // len(run))), dtype=np.int32)
+    assert time.process_time() - begun < 15  # an hour if every step looked back over the run
+    assert 0 < len(ids) < 200_000
+
+
+def test_committed_paths_are_best_paths():
+    """Against a search that keeps everything, on a small vocabulary in which paths compete for long."""
+    vocab = pieces.Vocabulary(MODEL)
+    rng = random.Random(7)
+    vocab.scores = {p: (k, -rng.random() * 3 - 1) for k, p in enumerate(["a", "aa", "aaa", "ab", "ba", "bab", "aabaa", "b", "abaab"])}
+    vocab.longest, vocab.worst, vocab.trie = 5, -20.0, None
+    vocab.trie = vocab._tree()
+    for _ in range(300):
+        text = "".join(rng.choice("aaaab" if rng.random() < 0.9 else "c") for _ in range(rng.randint(1, 120)))
+        best = [0.0] + [-1e9] * len(text)
+        for t in range(1, len(text) + 1):
+            best[t] = max([best[t - 1] + vocab.worst] + [
+                best[s] + vocab.scores[text[s:t]][1] for s in range(max(0, t - 5), t) if text[s:t] in vocab.scores
+            ])
+        ids = []
+        vocab.search(text, ids.extend)
+        by_id = {k: s for k, s in vocab.scores.values()}
+        letters = {vocab.bytes[ord(c)]: vocab.worst for c in "abc"}
+        assert sum(by_id.get(i, letters.get(i, 0)) for i in ids) == pytest.approx(best[-1])
+
+
 def test_every_text_comes_back(spark):
     rows = awkward(random.Random(2))
     coded = pieces.decode(pieces.encode(documents(spark, rows, extra=True), MODEL).withColumnRenamed("text", "given"), MODEL)

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search holds the best path to each of the last ``longest piece`` positions
-only. Ids are committed as soon as every surviving back pointer path runs
-through one boundary, so memory does not grow with the text.
+The search holds scores for the positions within one piece length only, and the back pointers of the paths that still
+compete. Ids are committed as soon as all of these run through one boundary. In prose that is a few words; where paths
+compete for long, as in a run of one character (one path for each remainder), their pointers are held to the end of the
+run. Time is linear in any text. A text, its ids and the batch it came in (about 8 MB, or one longer text) are in memory.
 
 Model files are public vocabularies and are never trained here. A unigram model
 brings its own scores. A merge-ranked model has merge ranks in their place; its
@@ -81,18 +82,21 @@ class Vocabulary:
     def search(self, text: str, commit) -> None:
         """Best segmentation of ``text``; ``commit`` gets ids in order, as soon as they are certain.
 
-        The lists hold positions from ``done``, the last boundary that is certain, to the
-        farthest one that a piece can reach: never more than four piece lengths.
+        Scores are needed for the positions that a piece from here can reach. The back pointers form a tree. A position
+        that no later piece can start from and that no path uses leaves it, and so may the one it came from; while the
+        root has one child left, that child is certain and becomes the root. Each position enters and leaves once.
         """
-        root, worst, most = self.trie, self.worst, 2 * self.longest
-        none, n, done, at = -math.inf, len(text), 0, 0
-        width = min(n, most + self.longest) + 1
+        trie, worst, longest = self.trie, self.worst, self.longest
+        none, n, root, at = -math.inf, len(text), 0, 0  # root and at: places in the lists, which begin at position ``base``
+        base, width = 0, min(n, longest) + 1
         best, origin, chosen = [none] * width, [0] * width, [-1] * width
+        uses, heirs = [0] * width, [0] * width  # paths that go on from a position, and the sum of the positions they go to
         best[0] = 0.0
+        long = n > 2 * longest
         for start in range(n):
             # Every path to ``start`` is known: extend the best one by each piece that begins here.
-            score, to, node = best[at], at, root
-            for c in text[start : start + self.longest]:
+            score, to, node = best[at], at, trie
+            for c in text[start : start + longest]:
                 node = node[0].get(c)
                 if node is None:
                     break
@@ -102,37 +106,47 @@ class Vocabulary:
             at += 1
             if score + worst > best[at]:
                 best[at], origin[at], chosen[at] = score + worst, at - 1, -1
-            if at >= most and start + 1 < n:
-                # Only back pointers across this point can still be used; follow them back until all meet.
-                live = {at} | {origin[k] for k in range(at + 1, len(best)) if best[k] > none}
-                while len(live) > 1:
-                    top = max(live)
-                    live.remove(top)
-                    live.add(origin[top])
-                if meet := live.pop():
-                    self._commit(text, done, meet, origin, chosen, commit)
-                    done, at = done + meet, at - meet
-                    best, chosen = best[meet:] + [none] * meet, chosen[meet:] + [-1] * meet
-                    origin = [k - meet for k in origin[meet:]] + [0] * meet
-                else:  # nothing is certain yet: look farther
-                    best.append(none)
-                    origin.append(0)
-                    chosen.append(-1)
-        self._commit(text, done, n - done, origin, chosen, commit)
-
-    def _commit(self, text: str, done: int, to: int, origin, chosen, commit) -> None:
+            if start + 1 + longest <= n:
+                best.append(none)
+                origin.append(0)
+                chosen.append(-1)
+                uses.append(0)
+                heirs.append(0)
+            if not long:
+                continue
+            uses[origin[at]] += 1
+            heirs[origin[at]] += start + 1
+            ended = at - longest  # the last position that no later piece starts from
+            k = ended
+            while k > root and not uses[k]:
+                uses[origin[k]] -= 1
+                heirs[origin[k]] -= base + k
+                k = origin[k]
+            certain = root
+            while certain <= ended and uses[certain] == 1:
+                certain = heirs[certain] - base
+            if certain > root:
+                self._commit(text, base, root, certain, origin, chosen, commit)
+                root = certain
+            if root > 4 * longest and 2 * root > len(best):
+                best, chosen, uses, heirs = best[root:], chosen[root:], uses[root:], heirs[root:]
+                origin = [k - root for k in origin[root:]]
+                base, at, root = base + root, at - root, 0
+        self._commit(text, base, root, n - base, origin, chosen, commit)
+
+    def _commit(self, text: str, base: int, root: int, to: int, origin, chosen, commit) -> None:
         path = []
-        while to > 0:
+        while to > root:
             start = origin[to]
-            path.append([chosen[to]] if chosen[to] >= 0 else [self.bytes[b] for b in text[done + start : done + to].encode()])
+            path.append([chosen[to]] if chosen[to] >= 0 else [self.bytes[b] for b in text[base + start : base + to].encode()])
             to = start
         for ids in reversed(path):
             commit(ids)
 
     def part(self, text: str) -> bytes:
-        ids: list[int] = []
+        ids = array("i")
         self.search(text, ids.extend)
-        return array("i", ids).tobytes()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as 32-bit integers in native order."""
