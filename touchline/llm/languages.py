@@ -208,10 +208,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str = "d
         return None
     idf = (np.log((1 + frequency[DIMS]) / (1 + frequency[:DIMS])) + 1).astype(np.float32)
 
-    # About half as many texts again as the sample needs are looked at, chosen by their hash.
+    # About half as many texts again as the sample needs are looked at, chosen by their hash. At most MOST_LANGUAGES rows go out.
     span = 1 << 30
     shares = spark.createDataFrame([(k, int(min(1.0, (1.5 * SAMPLE + 100) / n) * span)) for k, n in sizes.items()], "lang string, share long")
-    some = known.join(shares, "lang").where(F.pmod("key", F.lit(span)) < F.col("share")).select("lang", "key", "text")
+    some = known.join(F.broadcast(shares), "lang").where(F.pmod("key", F.lit(span)) < F.col("share")).select("lang", "key", "text")
 
     def vectors(batches):
         for batch in batches:
