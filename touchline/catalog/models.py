@@ -1,16 +1,18 @@
-"""Model queries: no SQL oracle, checked by row counts and tests."""
+"""Model queries. Fits without a closed form have no SQL; those that end in the means of groups have."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.catalog.base import fixtures, query, team_rows
+from touchline.catalog.base import TM, fixtures, query, r, team_rows
 from touchline.operators.history import rolling_features
 from touchline.operators.perspective import playable, with_competition
 from touchline.operators.split import chronological_split
+from touchline.plans import boosting
 from touchline.plans import models as m
 from touchline.plans.serving import different_teams, fixture_features
 from touchline.operators.joins import with_opponent
+from touchline.session import cut_lineage
 
 SOURCES = ["goals_for", "goals_against", "goal_difference"]
 NUMERIC = [f"rolling_{c}_5" for c in SOURCES] + [f"opponent_rolling_{c}_5" for c in SOURCES] + ["rest_days", "neutral_site"]
@@ -38,10 +40,10 @@ def yearly_backtests(spark, sf):
 
 @query("blend_grid")
 def blend_grid(spark, sf):
-    split = chronological_split(home_rows(spark, sf)).persist()
+    split = cut_lineage(chronological_split(home_rows(spark, sf)))
     train, validation = split.where("split = 'train'"), split.where("split = 'validation'")
     scored = m.score_outcome(m.fit_outcome(train, FEATURES), validation, FEATURES)
-    both = m.score_boosted(m.fit_boosted_outcome(train, FEATURES), scored, FEATURES)
+    both = m.score_softmax(m.fit_softmax_outcome(train, FEATURES), scored, FEATURES)
     return m.blend_losses(both, "boosted_", "probability_")
 
 
@@ -53,7 +55,7 @@ def poisson_glm(spark, sf):
 @query("count_market")
 def count_market(spark, sf):
     rows = master(spark, sf).where("training_eligible")
-    return m.train_count_market(rows, NUMERIC, "goals_for", rounds=10)[1]
+    return m.train_count_market(rows, NUMERIC, "goals_for")[1]
 
 
 @query("feature_importances")
@@ -64,7 +66,7 @@ def feature_importances(spark, sf):
 
 @query("score_fixtures")
 def score_fixtures(spark, sf):
-    history = home_rows(spark, sf).persist()
+    history = cut_lineage(home_rows(spark, sf))
     outcome = m.fit_outcome(history, NUMERIC)
     rates = {
         "home": m.fit_rate(history, NUMERIC, "goals_for"), "away": m.fit_rate(history, NUMERIC, "goals_against"),
@@ -74,3 +76,31 @@ def score_fixtures(spark, sf):
     )
     rows = fixture_features(different_teams(upcoming), master(spark, sf), NUMERIC).where("has_history")
     return m.score_fixtures(rows, outcome, rates, NUMERIC, "v1")
+
+
+KINDS = ["continental_championship", "friendly", "nations_league", "world_cup", "world_cup_qualifier"]
+FREE = {"rate": 1.0, "rows": 1.0, "inputs": 1.0, "penalty": 0.0, "least_weight": 0.0, "least_gain": 1e-18}
+
+
+@query(
+    "boosted_leaves",
+    "with " + TM + """
+    select competition_type, count(*) as rows, round(avg(goals_for), 5) as mean_goals,
+      round(avg(case when result = 'loss' then 1.0 else 0.0 end), 5) as share_loss,
+      round(avg(case when result = 'draw' then 1.0 else 0.0 end), 5) as share_draw,
+      round(avg(case when result = 'win' then 1.0 else 0.0 end), 5) as share_win
+    from tm where training_eligible group by 1""",
+)
+def boosted_leaves(spark, sf):
+    """Without penalty and samples, trees over one category end in its mean count and its shares of outcomes."""
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("competition_type")).cast("double")
+    rows = cut_lineage(m.with_label(team_rows(spark, sf).where("training_eligible")).select(
+        "competition_type", "goals_for", "label", "event_id", "team_id", F.array(place).alias("features")
+    ))
+    key = ["event_id", "team_id"]
+    counts = boosting.fit(rows, boosting.Settings("poisson", rounds=10, **FREE), label="goals_for", key=key)
+    outcomes = boosting.fit(rows, boosting.Settings("softmax", 3, rounds=40, **FREE), key=key)
+    sizes = rows.groupBy("competition_type", "features").agg(F.count(F.lit(1)).alias("rows"))
+    scored = boosting.predict(sizes.withColumn("again", F.col("features")), counts, ["mean_goals"]).withColumnRenamed("again", "features")
+    shares = ["share_loss", "share_draw", "share_win"]
+    return boosting.predict(scored, outcomes, shares).select("competition_type", "rows", *[r(c, 5).alias(c) for c in ["mean_goals", *shares]])

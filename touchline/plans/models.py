@@ -17,7 +17,9 @@ from touchline.functions.scalars import clip
 from touchline.functions.scoreline import poisson_over
 from touchline.operators.aggregates import count_metrics, dispersion, enough_values, probability_metrics
 from touchline.operators.split import chronological_split
+from touchline.plans import boosting
 from touchline.plans.serving import with_prediction_markets
+from touchline.session import cut_lineage
 
 # Fixed values of the models.
 LABELS = ["loss", "draw", "win"]
@@ -25,6 +27,8 @@ REGULARISATION_C = 0.5
 POISSON_ALPHA = 1.0
 BLEND_STEPS = 10
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE, BOOST_SAMPLE = 250, 3, 0.04, 0.8
+BOOST_STEP = 0.7
+OUTCOME_ROUNDS, OUTCOME_RATE, OUTCOME_PENALTY = 350, 0.035, 2.0
 LEAST_TRAINING_ROWS = 100
 SHOT_LINES = (5.5, 7.5, 9.5, 11.5, 13.5)
 COUNT_LINES = (2.5, 3.5, 4.5, 5.5, 6.5)
@@ -114,7 +118,7 @@ def outcome_metrics(scored: DataFrame, prefix: str = "probability_", by: Sequenc
 
 def train_outcome(home_rows: DataFrame, features: Sequence[str]) -> tuple[PipelineModel, DataFrame]:
     """M3: chronological split, fit on train, metrics per split."""
-    split = chronological_split(home_rows).persist()
+    split = cut_lineage(chronological_split(home_rows))
     usable = enough_values(split.where("split = 'train'"), features, 1)
     model = fit_outcome(split.where("split = 'train'"), usable)
     return model, outcome_metrics(score_outcome(model, split, usable), by=["split"])
@@ -200,6 +204,51 @@ def score_boosted(fitted: tuple[PipelineModel, dict], df: DataFrame, features: S
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_{n}") / total).alias(f"{prefix}{n}") for n in LABELS])
 
 
+def _arrays(inputs: PipelineModel, ready: DataFrame, columns: Sequence) -> DataFrame:
+    return inputs.transform(ready).withColumn("features", vector_to_array("features")).select("features", *columns)
+
+
+def fit_softmax_outcome(
+    train: DataFrame, features: Sequence[str], rounds: int = OUTCOME_ROUNDS, key: Sequence[str] = ("event_id",)
+) -> tuple[PipelineModel, boosting.Boosted]:
+    """M5: the fitted inputs and boosted trees of the three outcomes under one softmax."""
+    ready, stages = preprocessing(train, features)
+    inputs = Pipeline(stages=stages).fit(ready)
+    settings = boosting.Settings(
+        "softmax", len(LABELS), rounds, BOOST_DEPTH, OUTCOME_RATE, BOOST_SAMPLE, BOOST_SAMPLE, OUTCOME_PENALTY
+    )
+    return inputs, boosting.fit(_arrays(inputs, with_label(ready), ["label", *key]), settings, key=key)
+
+
+def score_softmax(fitted: tuple[PipelineModel, boosting.Boosted], df: DataFrame, features: Sequence[str], prefix: str = "boosted_") -> DataFrame:
+    """M5: the three chances of the boosted trees."""
+    inputs, model = fitted
+    ready, _ = _inputs_only(df, inputs, features)
+    return boosting.predict(_arrays(inputs, ready, [F.col(f"`{c}`") for c in df.columns]), model, [f"{prefix}{n}" for n in LABELS])
+
+
+def fit_boosted_rate(
+    train: DataFrame, features: Sequence[str], target: str, rounds: int = BOOST_ROUNDS, key: Sequence[str] = ("event_id", "team_id")
+) -> tuple[PipelineModel, boosting.Boosted]:
+    """M7: the fitted inputs and boosted trees with Poisson loss for a count target."""
+    ready, stages = preprocessing(train, features, indicators=True)
+    inputs = Pipeline(stages=stages).fit(ready)
+    settings = boosting.Settings(
+        "poisson", 1, rounds, BOOST_DEPTH, BOOST_RATE, BOOST_SAMPLE, BOOST_SAMPLE, most_step=BOOST_STEP
+    )
+    rows = _arrays(inputs, ready, [F.col(f"`{target}`").alias("label"), *key])
+    return inputs, boosting.fit(rows, settings, key=key)
+
+
+def predict_boosted_rate(
+    fitted: tuple[PipelineModel, boosting.Boosted], df: DataFrame, features: Sequence[str], name: str, low: float, high: float | None = None
+) -> DataFrame:
+    inputs, model = fitted
+    ready, _ = _inputs_only(df, inputs, features)
+    rows = boosting.predict(_arrays(inputs, ready, [F.col(f"`{c}`") for c in df.columns if c != name]), model, [name])
+    return rows.withColumn(name, clip(F.col(name), low, high))
+
+
 def feature_importances(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Importance of every input of a tree model; a category is ``feature=value``.
 
@@ -248,7 +297,7 @@ def predict_rate(model: PipelineModel, df: DataFrame, features: Sequence[str], n
 
 def train_scorelines(home_rows: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Expected goals of both sides on the test split, markets and metrics."""
-    split = chronological_split(home_rows).persist()
+    split = cut_lineage(chronological_split(home_rows))
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     usable = enough_values(train, features, 1)
     out = test
@@ -264,18 +313,16 @@ def train_scorelines(home_rows: DataFrame, features: Sequence[str]) -> tuple[Dat
 def train_count_market(
     rows: DataFrame, features: Sequence[str], target: str, lines: Sequence[float] = COUNT_LINES, rounds: int = BOOST_ROUNDS
 ) -> tuple[DataFrame, DataFrame]:
-    """M7: Poisson against boosted trees on the test split, the lower MAE wins.
+    """M7: Poisson regression against boosted trees with Poisson loss on the test split, the lower MAE wins.
 
     Returns test predictions with over-line probabilities and one metrics row.
     """
     known = rows.where(F.col(target).isNotNull())
-    split = chronological_split(known).persist()
+    split = cut_lineage(chronological_split(known))
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     usable = enough_values(train, features, 1)
-    both = test
-    for name, boosted in (("poisson_expected", False), ("boosted_expected", True)):
-        both = predict_rate(fit_rate(train, usable, target, boosted, rounds), both, usable, name, COUNT_FLOOR)
-    both = both.persist()
+    both = predict_rate(fit_rate(train, usable, target), test, usable, "poisson_expected", COUNT_FLOOR)
+    both = cut_lineage(predict_boosted_rate(fit_boosted_rate(train, usable, target, rounds), both, usable, "boosted_expected", COUNT_FLOOR))
     mae = {
         n: count_metrics(both, target, f"{n}_expected").first()["mae"] for n in ("poisson", "boosted")
     }
