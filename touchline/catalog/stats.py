@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 from touchline.catalog.base import query, r, table
 from touchline.functions.scalars import FRACTION_PATTERN, fraction_part, normalize_period, ratio, safe_numeric
 from touchline.operators.flatten import flatten_statistics, without_overview_repeat
-from touchline.operators.quality import unbalanced_pairs
 from touchline.operators.reshape import (
     coverage_flags,
-    melt_pivot,
-    numeric_where_possible,
+    melt_clean,
+    off_balance,
     pair_by_side,
-    percent_to_decimal,
     quarantine,
-    split_fraction_columns,
     statistics_wide,
     with_empty_stats,
 )
@@ -203,31 +200,40 @@ def fraction_split(spark, sf):
     )
 
 
+def _cleaned(period: str, n: int) -> str:
+    """SQL of the cleaned columns of one statistic: a fraction in three parts, a number, or its text."""
+    name = f"{period}_{NAMES[n]}"
+    here = f"max(case when stat = '{name}' then"
+    if n in (2, 7):
+        return f"""{here} try_cast(w as double) end) as "{name}_won", {here} try_cast(t as double) end) as "{name}_total",
+          round({here} try_cast(p as double) end) / 100, 6) as "{name}_pct" """
+    if n in (1, 5):
+        number = "cast(rtrim(raw, '%') as double)" + (" / 100" if n == 1 else "")
+        return f"""round({here} {number} end), 6) as "{name}" """
+    return f"""{here} raw end) as "{name}" """
+
+
 @query(
     "melt_and_clean",
-    f"""with {LONG}, t as (select event_id, side, stat, raw, m.w as w, m.t as t, m.p as p from parsed
-        where stat in ('ALL_Ball possession', 'ALL_Passes', 'ALL_Total shots', 'ALL_Distance covered'))
-    select event_id, side, max(case when stat = 'ALL_Passes' and w <> '' then cast(w as double) end) as "ALL_Passes_won",
-      max(case when stat = 'ALL_Passes' and w <> '' then cast(t as double) end) as "ALL_Passes_total",
-      max(case when stat = 'ALL_Passes' and w <> '' then round(cast(p as double) / 100, 6) end) as "ALL_Passes_pct",
-      max(case when stat = 'ALL_Ball possession' then round(cast(rtrim(raw, '%') as double) / 100, 6) end) as "ALL_Ball possession",
-      max(case when stat = 'ALL_Distance covered' then raw end) as "ALL_Distance covered"
-    from t group by 1, 2""",
+    f"""with {LONG}, cells as (
+      select event_id, side, period || '_' || stat_name as stat, raw from (
+        select *, row_number() over (partition by event_id, period, stat_name, side order by raw is null, {', '.join(ORDINAL)}) as place
+        from (select *, 'home' as side, home_raw as raw from long union all select *, 'away', away_raw from long)) where place = 1),
+      t as (select event_id, side, stat, raw, m.w as w, m.t as t, m.p as p from (
+        select *, regexp_extract(coalesce(raw, ''), '^(\\d+)/(\\d+)\\s*\\((\\d+)%\\)$', ['w', 't', 'p']) as m from cells))
+    select event_id, side, {', '.join(_cleaned(p, n) for p in ('1ST', 'ALL', 'ET') for n in NAMES)} from t group by 1, 2""",
 )
 def melt_and_clean(spark, sf):
-    kept = ["Ball possession", "Passes", "Total shots", "Distance covered"]
-    rows = long_stats(spark, sf).where((F.col("period") == "ALL") & F.col("stat_name").isin(*kept))
-    wide = melt_pivot(
-        rows.select(
+    """All periods and statistics, melted, pivoted and cleaned."""
+    names = [f"{p}_{name}" for p in ("1ST", "ALL", "ET") for name in NAMES.values()]
+    clean = melt_clean(
+        long_stats(spark, sf).select(
             "event_id", F.concat_ws("_", "period", "stat_name").alias("stat_col"), "ordinal",
             F.col("home_value_raw").alias("home"), F.col("away_value_raw").alias("away"),
-        )
-    )
-    clean = numeric_where_possible(percent_to_decimal(split_fraction_columns(wide)))
-    return clean.select(
-        "event_id", "side", "`ALL_Passes_won`", "`ALL_Passes_total`", r("ALL_Passes_pct").alias("ALL_Passes_pct"),
-        r("ALL_Ball possession").alias("ALL_Ball possession"), "`ALL_Distance covered`",
+        ),
+        names=names,
     )
+    return clean.select(*[r(c).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in clean.dtypes])
 
 
 @query(
@@ -238,12 +244,9 @@ def melt_and_clean(spark, sf):
       coalesce(abs(home + away - 1.0) > 0.03001, false) as unbalanced from p""",
 )
 def possession_pairs(spark, sf):
-    wide = wide_stats(spark, sf)
-    pairs = pair_by_side(wide, "ALL_Ball possession")
-    bad = unbalanced_pairs(wide, "ALL_Ball possession").select("event_id", F.lit(True).alias("unbalanced"))
-    return pairs.join(bad, "event_id", "left").select(
-        "event_id", r("home").alias("home"), r("away").alias("away"),
-        F.coalesce("unbalanced", F.lit(False)).alias("unbalanced"),
+    pairs = pair_by_side(wide_stats(spark, sf), "ALL_Ball possession")
+    return pairs.select(
+        "event_id", r("home").alias("home"), r("away").alias("away"), F.coalesce(off_balance(F.col("home") + F.col("away")), F.lit(False)).alias("unbalanced")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.scalars import FRACTION_PATTERN, ratio, safe_numeric
 from touchline.operators.sets import keep_first
+from touchline.session import cut_lineage
 
 POSSESSION_TOLERANCE = 0.03
 RELATIVE_TOLERANCE = 1e-5
@@ -153,6 +154,40 @@ def numeric_where_possible(wide: DataFrame, keys=("event_id", "side")) -> DataFr
     )
 
 
+def melt_clean(
+    long: DataFrame, key: str = "event_id", stat: str = "stat_col", order: str = "ordinal", names: Sequence[str] | None = None
+) -> DataFrame:
+    """R3 to R6 in one: rows by side, fractions split, percentages as decimals, numbers where every value is one.
+
+    The first value of each cell is fixed once; one aggregate over these tells each statistic's kind, and the pivot
+    makes the cleaned columns directly. Without ``names`` the statistics found become columns.
+    """
+    tall = long.select(key, stat, order, "home", "away").unpivot([key, stat, order], ["home", "away"], "side", "value")
+    first = F.min_by("value", F.when(F.col("value").isNotNull(), F.col(order))).alias("value")
+    cells = cut_lineage(tall.groupBy(key, "side", stat).agg(first))
+    text = F.trim("value")
+    decimal = F.replace(F.col("value"), F.lit("%"), F.lit("")).try_cast("double") / 100
+    plain = F.when(F.col("value").rlike(WIDE_PERCENT), decimal.cast("string")).otherwise(F.col("value"))
+    kinds = {
+        r[stat]: r for r in cells.groupBy(stat).agg(
+            F.coalesce(F.max(text.rlike(WIDE_FRACTION)), F.lit(False)).alias("fraction"),
+            (F.count(plain.try_cast("double")) == F.count("value")).alias("number"),
+        ).collect()
+    }
+    columns = []
+    for name in sorted(kinds) if names is None else names:
+        here = F.col(stat) == name
+        kind = kinds.get(name)
+        if kind is not None and kind["fraction"]:
+            for i, suffix in enumerate(("won", "total", "pct"), 1):
+                part = F.nullif(F.regexp_extract(text, WIDE_FRACTION, i), F.lit("")).try_cast("double")
+                columns.append(F.max(F.when(here, part / 100 if suffix == "pct" else part)).alias(f"{name}_{suffix}"))
+        else:
+            number = kind is None or kind["number"]
+            columns.append(F.max(F.when(here, plain.try_cast("double") if number else plain)).alias(name))
+    return cells.groupBy(key, "side").agg(*columns)
+
+
 def pair_by_side(rows: DataFrame, value: str, key: str = "event_id") -> DataFrame:
     """``(event_id, home, away)`` of one value."""
     return rows.groupBy(key).pivot("side", ["home", "away"]).agg(F.first(_q(value), ignorenulls=True))
