@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline.catalog.base import query, r
 from touchline.functions.payloads import payload_hash
 from touchline.session import configure, fresh_path
-from touchline.streaming import live
+from touchline.streaming import keyed, live
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -130,9 +130,24 @@ def live_scoring(spark, sf):
       as place from events where event_id % 10 >= 5) where place = 1""",
 )
 def latest_state(spark, sf):
-    out = fresh_path(spark, "latest")
-    live.run_available(live.latest_state_sink(live.live_features(updates(spark, sf)), out, out + "-state"))
-    return live.read_latest_state(spark, out).select("event_id", "message_id", "status")
+    """Read back from the state store, which holds one row for each event."""
+    changes = keyed.latest_by_key(live.live_features(updates(keyed.use_rocksdb(spark), sf)), finished=())
+    checkpoint = keyed.run_to_state(changes, fresh_path(spark, "latest-state"))
+    return keyed.read_state(spark, checkpoint).select("event_id", "message_id", "status")
+
+
+@query(
+    "stream_dedupe_ids",
+    f"""select cast(user_id as varchar) || ':' || cast(event_id as varchar) as message_id, 3 as times from events where {VALID}""",
+)
+def stream_dedupe_ids(spark, sf):
+    """Ids kept in a state store without a bound by the watermark, with how often each was seen."""
+    first = keyed.first_by_id(updates(keyed.use_rocksdb(spark), sf, 3))
+    checkpoint = fresh_path(spark, "seen-ids") + "-state"
+    out = fresh_path(spark, "ids")
+    keyed.run_available(spark, first.select("message_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+    seen = spark.read.format("statestore").load(checkpoint).select("key.message_id", F.col("value.groupState.times").cast("int").alias("times"))
+    return spark.read.schema("message_id string").parquet(out).join(seen, "message_id")
 
 
 @query(
