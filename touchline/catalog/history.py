@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.catalog.base import TM, matches, query, r, table, team_rows
+from touchline.catalog.stats import FEATURES, WIDE, wide_stats
 from touchline.operators.ewm import ewm_features
 from touchline.operators.history import (
     count_recent,
@@ -282,6 +283,66 @@ def feature_master_query(spark, sf):
     )
 
 
+STATISTICS = [f for f in FEATURES if f.startswith("ALL_")]
+HISTORY = ["goals_for", "goals_against", "goal_difference", *STATISTICS, *(f"against_{c}" for c in STATISTICS)]
+
+
+def _full_sql() -> str:
+    """The master over all sources; the weighted means step from one row of a team to its next."""
+    sources = range(len(HISTORY))
+    named = ", ".join(f'w."{c}" as "{c}", v."{c}" as "against_{c}"' for c in STATISTICS)
+    step = ", ".join(
+        f"""case when e.c{i} is null then s.m{i} when s.m{i} is null then e.c{i}
+          else (s.w{i} * (2.0 / 3.0) * s.m{i} + e.c{i} / 3.0) / (s.w{i} * (2.0 / 3.0) + 1.0 / 3.0) end,
+          case when s.m{i} is null and e.c{i} is null then 1.0 when e.c{i} is null then s.w{i} * (2.0 / 3.0) else 1.0 end"""
+        for i in sources
+    )
+    rolled = ", ".join(
+        f"""avg(c{i}) over (w rows between 3 preceding and 1 preceding) as "rolling_{c}_3",
+          avg(c{i}) over (w rows between 5 preceding and 1 preceding) as "rolling_{c}_5",
+          avg(c{i}) over (w rows between 10 preceding and 1 preceding) as "rolling_{c}_10",
+          stddev_samp(c{i}) over (w rows between 5 preceding and 1 preceding) as "rolling_std_{c}_5" """
+        for i, c in enumerate(HISTORY)
+    )
+    shared = [
+        n for c in HISTORY
+        for n in (f"rolling_{c}_3", f"rolling_{c}_5", f"rolling_{c}_10", f"rolling_std_{c}_5", f"trend_{c}_3_minus_10", f"ewm_{c}_5")
+    ]
+    return f"""with recursive {WIDE}, {TM},
+    base as (select pl.*, w.event_id is not null as has_statistics, {named} from pl
+      left join wide w on w.event_id = pl.event_id and w.side = pl.side
+      left join wide v on v.event_id = pl.event_id and v.side <> pl.side),
+    e as (select event_id, side, team_id, opponent_id, kickoff_utc, has_statistics,
+      row_number() over (partition by team_id order by kickoff_utc, event_id) as rn,
+      {", ".join(f'cast("{c}" as double) as c{i}' for i, c in enumerate(HISTORY))} from base),
+    s as (
+      select event_id, side, team_id, rn, {", ".join(f"cast(null as double) as b{i}" for i in sources)},
+        {", ".join(f"c{i} as m{i}, 1.0::double as w{i}" for i in sources)} from e where rn = 1
+      union all
+      select e.event_id, e.side, e.team_id, e.rn, {", ".join(f"s.m{i}" for i in sources)}, {step}
+      from s join e on e.team_id = s.team_id and e.rn = s.rn + 1),
+    f as (select *, {rolled},
+        sum(cast(has_statistics as int)) over (w rows between 10 preceding and 1 preceding) as prior_advanced
+      from e window w as (partition by team_id order by kickoff_utc, event_id)),
+    t as (select f.*, {", ".join(f'"rolling_{c}_3" - "rolling_{c}_10" as "trend_{c}_3_minus_10", s.b{i} as "ewm_{c}_5"' for i, c in enumerate(HISTORY))}
+      from f join s on s.event_id = f.event_id and s.side = f.side)
+    select a.event_id, a.side, a.rn - 1 as prior_match_count, cast(coalesce(a.prior_advanced, 0) as bigint) as prior_advanced_stats_count_10,
+      {", ".join(f'round({p}."{n}", 5) as "{q}{n}"' for p, q in (("a", ""), ("b", "opponent_")) for n in shared)}
+    from t a left join t b on a.event_id = b.event_id and a.opponent_id = b.team_id"""
+
+
+@query("feature_master_full", _full_sql())
+def feature_master_full(spark, sf):
+    """The whole master: all statistics of the match, those of the other side, weighted means and the opponent's columns."""
+    wide = wide_stats(spark, sf).select("event_id", "side", *[F.col(f"`{c}`") for c in STATISTICS], F.lit(True).alias("has_statistics"))
+    master = feature_master(team_rows(spark, sf), matches(spark, sf), wide)
+    numbers = [c for c in master.columns if c.startswith(("rolling_", "opponent_", "trend_", "ewm_")) and c != "opponent_id"]
+    return master.select(
+        *KEY, "prior_match_count", F.coalesce("prior_advanced_stats_count_10", F.lit(0)).cast("long").alias("prior_advanced_stats_count_10"),
+        *[r(c, 5).alias(c) for c in numbers],
+    )
+
+
 @query(
     "feature_aliases",
     f"""with {TM}, f as (select event_id, side, team_id, opponent_id,
