@@ -23,10 +23,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.llm.spread import runs
 from touchline.llm.words import SLICE_BYTES, U64, mix, powers, signed, slices, text_bytes
 
 WIDTH = 200
@@ -36,8 +38,10 @@ STEP = 8  # window starts that such a string serves
 TASK_BYTES = 1 << 20
 _PLACE = (1 << 24) - 1
 _OFTEN = 1 << 15  # in a place: the anchor is dealt by a longer string
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 SEGMENT = "key long, segment binary, times long"
-OWNER = "g1 long, g2 long, n int, places array<struct<id:long,th:int,start:long>>"
+OWNER = "g1 long, g2 long, block long, n int, places array<struct<id:long,th:int,start:long>>"
+RUNS = "id long, th int, runs array<struct<start:long,stop:long>>"
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -169,10 +173,15 @@ def segments(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def owners(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents and places of each candidate segment, equal segments of a batch as one row."""
+    """The documents and places of each candidate segment, equal segments of a batch as one row with the batch's number.
+
+    The number only brings places of a document together again; a batch that is dealt otherwise after a loss does no harm.
+    """
 
     def run(batches):
+        block = TaskContext.get().partitionId() << 32
         for batch, found in _cut(batches, width):
+            block += 1
             g1, g2 = _names(x[4] for x in found)
             order = np.lexsort((g2, g1))
             g1, g2 = g1[order], g2[order]
@@ -183,14 +192,42 @@ def owners(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
                 ["id", "th", "start"],
             )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g1[first]), pa.array(g2[first]), pa.array([found[i][3] for i in order[first]], pa.int32()),
+                [pa.array(g1[first]), pa.array(g2[first]), pa.array(np.full(len(first), block)),
+                 pa.array([found[i][3] for i in order[first]], pa.int32()),
                  pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), places)],
-                ["g1", "g2", "n", "places"],
+                ["g1", "g2", "block", "n", "places"],
             )
 
     return candidates.mapInArrow(run, OWNER)
 
 
+def document_runs(found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, th, runs): what repeated windows cover in each document of a block; a block is a batch of documents."""
+
+    def run(batches):
+        for table in runs(batches, ["block"]):
+            lists = table.column("places").combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            ids, keys, starts = flat.field("id").to_pylist(), flat.field("th").to_pylist(), flat.field("start").to_pylist()
+            windows: dict[tuple, list] = {}
+            at = 0
+            for n, marks, size in zip(table.column("n").to_pylist(), table.column("marks").to_pylist(), sizes.tolist(), strict=True):
+                marked = np.flatnonzero(np.unpackbits(np.frombuffer(marks, dtype=np.uint8), count=n))
+                for k in range(at, at + size):
+                    windows.setdefault((ids[k], keys[k]), []).append(starts[k] + marked)
+                at += size
+            covered = [_covered(np.concatenate(x), width) for x in windows.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in windows], pa.int64()), pa.array([k for _, k in windows], pa.int32()),
+                 pa.array([[{"start": a, "stop": b} for a, b in x] for x in covered], SPANS)],
+                ["id", "th", "runs"],
+            )
+
+    dealt = found.select("block", "n", "marks", "places").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, RUNS)
+
+
 def two_stage_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """Wanted suffixes of ``text`` (0 ends a segment, bytes are 1..256), ordered by their first ``depth`` bytes.
 
@@ -327,21 +364,20 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, often:
     repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > often).alias("often"))
     # Under another key the counts get an exchange of their own, which lets the join split a frequent anchor.
     other = F.col("h").bitwiseXOR(F.lit(_PLACE))
-    repeated, rows = repeated.select(other.alias("_k"), "often"), rows.withColumn("_k", other)
+    repeated, rows = repeated.select(other.alias("_k"), "often"), rows.select("id", "th", "place", other.alias("_k"))
     place = F.col("place").bitwiseOR(F.when(F.col("often"), F.lit(_OFTEN)).otherwise(F.lit(0)).cast("long"))
     # Plain rows travel lighter than the sets they become.
-    some = rows.join(repeated, "_k").select("id", "th", place.alias("place"), "h").repartition("id", "th")
+    anchor = F.col("_k").bitwiseXOR(F.lit(_PLACE)).alias("h")
+    some = rows.join(repeated, "_k").select("id", "th", place.alias("place"), anchor).repartition("id", "th")
     placed = some.groupBy("id", "th").agg(F.collect_set(F.struct("place", "h")).alias("places"))
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))
     candidates = keyed.join(placed, same)
     marked = repeated_segments(segments(candidates, width), width)
     found = owners(candidates, width).join(marked, ["g1", "g2"])
-    by_document = found.select("n", "marks", F.inline("places")).repartition("id", "th").groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "marks")).alias("_found"))
+    by_document = document_runs(found, width).groupBy("id", "th").agg(F.flatten(F.collect_set("runs")).alias("_found"))
     joined = keyed.join(by_document, same, "left").select(*names, "_found")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([*kept.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-
     def apply(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
@@ -349,27 +385,34 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, often:
                 spans, left, readable = [], [], []
                 for text, found in zip(part.column("text").to_pylist(), part.column("_found").to_pylist(), strict=True):
                     raw = (text or "").encode()
-                    runs = _covered(found or [], width)
-                    spans.append([{"start": a, "stop": b} for a, b in runs])
-                    bounds = [0, *(x for run in runs for x in run), len(raw)]
+                    cut = _merged(found or [])
+                    spans.append([{"start": a, "stop": b} for a, b in cut])
+                    bounds = [0, *(x for span in cut for x in span), len(raw)]
                     left.append(b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)))
-                    readable.append(None if text is None else text if not runs else left[-1].decode("utf-8", "ignore"))
+                    readable.append(None if text is None else text if not cut else left[-1].decode("utf-8", "ignore"))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array(spans, kind), pa.array(left, pa.binary()), pa.array(readable, pa.string())],
+                    [*(part.column(c) for c in names), pa.array(spans, SPANS), pa.array(left, pa.binary()), pa.array(readable, pa.string())],
                     [*names, "spans", "kept", "kept_text"],
                 )
 
     return joined.mapInArrow(apply, schema)
 
 
-def _covered(found: list[dict], width: int) -> list[tuple[int, int]]:
-    """Maximal byte runs that repeated windows cover."""
-    starts = []
-    for x in found:
-        bits = np.unpackbits(np.frombuffer(x["marks"], dtype=np.uint8), count=x["n"])
-        starts.append(x["start"] + np.flatnonzero(bits))
-    if not starts:
+def _covered(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Maximal byte runs that windows at these places cover."""
+    at = np.sort(starts)
+    if not len(at):
         return []
-    at = np.sort(np.concatenate(starts))
     gap = np.flatnonzero(at[1:] > at[:-1] + width)
     return list(zip([int(at[0]), *at[gap + 1].tolist()], [*(at[gap] + width).tolist(), int(at[-1]) + width], strict=True))
+
+
+def _merged(found: list[dict]) -> list[tuple[int, int]]:
+    """Runs of all blocks a document was in, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((x["start"], x["stop"]) for x in found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
