@@ -99,6 +99,10 @@ def test_repeats_against_brute_force(spark, width, gram, often):
     passage = prose(rng, 80)
     rows += [(20 + k, prose(rng, k) + " " + passage[k : 380 - k] + " " + prose(rng, 30)) for k in range(25)]
     rows += [(60, passage + passage), (61, "ab" * 700), (62, "ab" * 300 + "c"), (63, "\x00" * 450), (64, "é" * 300)]
+    _same_as_brute_force(spark, rows, width, gram, often)
+
+
+def _same_as_brute_force(spark, rows, width, gram, often):
     got = suffixes.remove_repeats(documents(spark, rows, extra=True), width, gram, often)
     found = sorted(
         ((r["doc_id"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got.collect()),
@@ -107,6 +111,24 @@ def test_repeats_against_brute_force(spark, width, gram, often):
     assert found == _removed(rows, width)
 
 
+RUNS = ["=" * 3_000, "-. " * 1_200, "ab" * 130, "=" * 200, "=" * 201, "x" + "-. " * 90 + "y", "é" * 400, "abcdefg " * 60 + "=" * 700]
+
+
+@pytest.mark.parametrize("often", [20_000, 3])
+def test_runs_and_periods_against_brute_force(spark, often):
+    rows = [(k, text) for k, text in enumerate(RUNS)]
+    _same_as_brute_force(spark, rows, 200, 74, often)
+
+
+def test_runs_of_one_character_stay_small():
+    rng = random.Random(8)
+    for text in ("=" * 200_000, "-. " * 70_000, prose(rng, 30_000)):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        windows = suffixes.anchors(data, np.array([0, len(data)]))[2]
+        assert windows.sum() == len(data) - suffixes.WIDTH + 1
+        assert (windows + suffixes.WIDTH - 1).sum() < 5 * len(data)
+
+
 def test_two_stage_order_sorts_suffixes():
     rng = random.Random(6)
     for _ in range(20):

@@ -2,9 +2,10 @@
 
 Dealing. Each window of ``WIDTH`` bytes belongs to the leftmost of its least ``GRAM``-byte hashes, its anchor. Equal
 windows have equal anchors, so windows go to tasks by the anchor's hash and no suffix needs to meet all others. A run
-of windows with one anchor is one segment of text. Anchors that occur once in the corpus are left behind before any
-text moves. Equal segments travel once with a count. An anchor that occurs very often is dealt by a longer string
-inside its windows instead, so no anchor fills a task.
+of windows with one anchor hash is a segment of text; in a run of one character or a short period the hash stays while
+its place moves on, and the segment ends after ``MOST_WINDOWS``. Anchors that occur once in the corpus are left behind
+before any text moves. Equal segments travel once with a count. An anchor that occurs very often is dealt by a longer
+string inside its windows instead, so no anchor fills a task.
 
 Sorting. In a task the segments of several anchors form one text. Suffixes smaller than their successor are sorted
 directly; the others are induced by one scan of the buckets of first bytes, each bucket as one array operation. Then
@@ -37,7 +38,9 @@ OFTEN = 20_000  # an anchor with more occurrences is dealt by a longer string
 STEP = 8  # window starts that such a string serves
 TASK_BYTES = 1 << 20
 _PLACE = (1 << 24) - 1
+MOST_WINDOWS = 127
 _OFTEN = 1 << 15  # in a place: the anchor is dealt by a longer string
+_MOVES = 1 << 7  # in a place: the anchor's hash occurs at several places of the segment
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 SEGMENT = "key long, segment binary, times long"
 OWNER = "g1 long, g2 long, block long, n int, places array<struct<id:long,th:int,start:long>>"
@@ -62,24 +65,37 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def _chosen(hashes: np.ndarray, windows: int) -> np.ndarray:
+    """The place of each window's anchor: the leftmost of its least hashes."""
+    least = _sliding_min((hashes & ~U64(_PLACE)) | np.arange(len(hashes), dtype=U64), windows)
+    return (least & U64(_PLACE)).astype(np.int64)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """Segments of consecutive windows with one anchor: (row, first start, windows, anchor - start, anchor hash)."""
+    """Segments of consecutive windows with one anchor hash: (row, first start, windows, anchor - start, moves, hash).
+
+    ``moves`` tells that the hash occurs at several places of the segment, so that its windows may repeat each other.
+    """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < width:
-        return none, none, none, none, none.view(U64)
+        return none, none, none, none, none.astype(bool), none.view(U64)
     hashes = _gram_hashes(data, gram)
-    least = _sliding_min((hashes & ~U64(_PLACE)) | np.arange(len(hashes), dtype=U64), width - gram + 1)
-    chosen = (least & U64(_PLACE)).astype(np.int64)
+    chosen = _chosen(hashes, width - gram + 1)
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(chosen)]
     valid = np.arange(len(chosen)) + width <= ends
+    keys = hashes[chosen]
     fresh = valid.copy()
-    fresh[1:] &= (chosen[1:] != chosen[:-1]) | ~valid[:-1]
-    first = np.flatnonzero(fresh)
-    stop = valid.copy()
-    stop[:-1] &= (chosen[1:] != chosen[:-1]) | ~valid[1:]
-    last = np.flatnonzero(stop)
+    fresh[1:] &= (keys[1:] != keys[:-1]) | ~valid[:-1]
+    begin, at = np.flatnonzero(fresh), np.flatnonzero(valid)
+    if not len(at):
+        return none, none, none, none, none.astype(bool), none.view(U64)
+    # A long run goes on in a new segment every MOST_WINDOWS windows.
+    since = at - begin[np.searchsorted(begin, at, side="right") - 1]
+    first = at[since % MOST_WINDOWS == 0]
+    follows = np.append(first[1:], len(valid))
+    last = at[np.searchsorted(at, follows) - 1]
     rows = np.searchsorted(offsets, first, side="right") - 1
-    return rows, first - offsets[rows], last - first + 1, chosen[first] - first, hashes[chosen[first]]
+    return rows, first - offsets[rows], last - first + 1, chosen[first] - first, chosen[last] != chosen[first], keys[first]
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -95,17 +111,17 @@ def _parts(data: np.ndarray, offsets: np.ndarray, width: int):
 
 
 def anchor_rows(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """One row per segment; ``place`` holds its start, number of windows and distance to the anchor."""
-    if width - gram + 1 > 127:
-        raise ValueError("at most 127 windows share an anchor: choose a longer gram")
+    """One row per segment; ``place`` holds its start, number of windows, distance to the anchor and whether that moves."""
+    if width - gram + 1 > MOST_WINDOWS:
+        raise ValueError(f"at most {MOST_WINDOWS} windows share an anchor: choose a longer gram")
 
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             ids, keys = batch.column("id"), batch.column("th")
             for first, part, at, base in _parts(data, offsets, width):
-                rows, start, n, away, hashes = anchors(part, at, width, gram)
-                place = (start + base) << 16 | n << 8 | away
+                rows, start, n, away, moves, hashes = anchors(part, at, width, gram)
+                place = (start + base) << 16 | n << 8 | away | np.where(moves, _MOVES, 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(hashes)), ids.take(pa.array(first + rows)), keys.take(pa.array(first + rows)), pa.array(place)],
                     ["h", "id", "th", "place"],
@@ -114,7 +130,30 @@ def anchor_rows(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     return texts.mapInArrow(run, "h long, id long, th int, place long")
 
 
-def _cut(batches, width: int):
+def _finer(raw: bytes, start: int, stop: int, anchor: int, moves: bool, width: int, gram: int):
+    """(key, first start, stop) of a segment's windows, dealt by a longer string next to their anchors."""
+    if moves:
+        part = np.frombuffer(raw[start : stop - 1 + width], dtype=np.uint8)
+        places = (start + _chosen(_gram_hashes(part, gram), width - gram + 1)).tolist()
+    else:
+        places = [anchor] * (stop - start)
+    out: list[list[int]] = []
+    begin, core = -1, None
+    for at, place in enumerate(places, start):
+        block = (place - at) // STEP * STEP  # windows that start block..block+STEP-1 bytes before the anchor
+        if place - block != begin:
+            begin, before = place - block, core
+            core = raw[begin : begin + width - STEP + 1]
+            fresh = core != before
+        if not fresh:
+            out[-1][2] = at + 1
+            continue
+        fresh = False
+        out.append([int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), at, at + 1])
+    return out
+
+
+def _cut(batches, width: int, gram: int):
     """(batch, row, key, start, windows, bytes) of every candidate segment, often repeated anchors cut finer."""
     for batch in batches:
         texts, lists = batch.column("text"), batch.column("places")
@@ -132,14 +171,8 @@ def _cut(batches, width: int):
                 if not place & _OFTEN:
                     found.append((row, key, start, n, raw[start : start + n - 1 + width]))
                     continue
-                anchor, stop = start + away, start + n
-                while start < stop:
-                    block = (anchor - start) // STEP * STEP  # windows that start block..block+STEP-1 bytes before the anchor
-                    to = min(stop, anchor - block + 1)
-                    core = raw[anchor - block : anchor - block + width - STEP + 1]
-                    fine = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
-                    found.append((row, fine, start, to - start, raw[start : to - 1 + width]))
-                    start = to
+                for fine, at, to in _finer(raw, start, start + n, start + away, bool(place & _MOVES), width, gram):
+                    found.append((row, fine, at, to - at, raw[at : to - 1 + width]))
         if found:
             yield batch, found
 
@@ -157,11 +190,11 @@ def _names(segments):
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
-def segments(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
+def segments(candidates: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Candidate segments, equal ones of a batch as one row with a count."""
 
     def run(batches):
-        for _, found in _cut(batches, width):
+        for _, found in _cut(batches, width, gram):
             times = Counter((key, segment) for _, key, _, _, segment in found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key for key, _ in times], pa.int64()), pa.array([_packed(x) for _, x in times], pa.binary()),
@@ -172,7 +205,7 @@ def segments(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
     return candidates.mapInArrow(run, SEGMENT)
 
 
-def owners(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
+def owners(candidates: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """The documents and places of each candidate segment, equal segments of a batch as one row with the batch's number.
 
     The number only brings places of a document together again; a batch that is dealt otherwise after a loss does no harm.
@@ -180,7 +213,7 @@ def owners(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
-        for batch, found in _cut(batches, width):
+        for batch, found in _cut(batches, width, gram):
             block += 1
             g1, g2 = _names(x[4] for x in found)
             order = np.lexsort((g2, g1))
@@ -361,7 +394,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, often:
     keyed = kept.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.hash("text"))
     texts = keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
     rows = anchor_rows(texts, width, gram)
-    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > often).alias("often"))
+    moves = F.max(F.col("place").bitwiseAND(F.lit(_MOVES)))
+    counted = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), moves.alias("moves")).where("c > 1 or moves > 0")
+    repeated = counted.select("h", (F.col("c") > often).alias("often"))
     # Under another key the counts get an exchange of their own, which lets the join split a frequent anchor.
     other = F.col("h").bitwiseXOR(F.lit(_PLACE))
     repeated, rows = repeated.select(other.alias("_k"), "often"), rows.select("id", "th", "place", other.alias("_k"))
@@ -372,8 +407,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, often:
     placed = some.groupBy("id", "th").agg(F.collect_set(F.struct("place", "h")).alias("places"))
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))
     candidates = keyed.join(placed, same)
-    marked = repeated_segments(segments(candidates, width), width)
-    found = owners(candidates, width).join(marked, ["g1", "g2"])
+    marked = repeated_segments(segments(candidates, width, gram), width)
+    found = owners(candidates, width, gram).join(marked, ["g1", "g2"])
     by_document = document_runs(found, width).groupBy("id", "th").agg(F.flatten(F.collect_set("runs")).alias("_found"))
     joined = keyed.join(by_document, same, "left").select(*names, "_found")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
