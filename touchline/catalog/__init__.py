@@ -6,7 +6,7 @@ from importlib import import_module
 
 from touchline.catalog.base import ORACLES, QUERIES
 
-MODULES = ["canonical", "history", "joins", "stats", "aggregates", "odds", "payloads", "quality", "streams", "models", "lake"]
+MODULES = ["canonical", "history", "joins", "stats", "aggregates", "odds", "payloads", "quality", "streams", "models", "lake", "warehouse"]
 
 
 def _load():

@@ -247,15 +247,3 @@ def match_context_query(spark, sf):
         "*", (F.col("home_team_id") * 2).alias("home_displayed_ranking"), F.col("away_team_id").alias("away_displayed_ranking")
     )
     return match_context(ranked)
-
-
-@query(
-    "marts_sql",
-    f"""with {TM} select team_id, count(*) as matches, cast(sum(points) as bigint) as points from tm group by 1""",
-)
-def marts_sql(spark, sf):
-    """Marts read through SQL over the staging views."""
-    team_rows(spark, sf).createOrReplaceTempView("fct_team_matches")
-    return spark.sql(
-        "select team_id, count(*) as matches, sum(points) as points from fct_team_matches group by team_id"
-    )

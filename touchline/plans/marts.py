@@ -1,12 +1,11 @@
-"""Staging views, marts and tests of the warehouse layer."""
+"""Marts and tests of the warehouse layer (A20, Q5, Q6); ``graph.py`` runs them as models."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from touchline.operators.joins import with_opponent, without_exceptions
 from touchline.operators.quality import accepted, not_null, unique
-from touchline.sources.io import register_views
 
 EVENT_DETAILS = [
     "event_id",
@@ -34,19 +33,6 @@ AGAINST_COLUMNS = {
 }
 
 
-def staging(spark: SparkSession, events: DataFrame, teams: DataFrame, stats: DataFrame) -> dict[str, DataFrame]:
-    """P25: staging models, registered as temporary views."""
-    models = {
-        "stg_events": events,
-        "stg_teams": teams,
-        "stg_team_match_stats": stats,
-        "stg_event_details": events.select(*[c for c in EVENT_DETAILS if c in events.columns]),
-        "stg_rankings": events.select(*[c for c in RANKINGS if c in events.columns]),
-    }
-    register_views(models)
-    return models
-
-
 def distinct_dimension(events: DataFrame, columns, required: str | None = None) -> DataFrame:
     """Distinct attribute rows, optionally only where a key is known."""
     rows = events.select(*columns)
