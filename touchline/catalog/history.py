@@ -16,6 +16,7 @@ from touchline.operators.history import (
     whole_day_gap,
 )
 from touchline.operators.joins import with_opponent
+from touchline.operators.ordered import over_recent
 from touchline.operators.perspective import playable
 from touchline.plans.features import feature_master, leakage_safe, readable_aliases
 
@@ -366,12 +367,18 @@ def feature_aliases(spark, sf):
 
 @query(
     "rolling_assert",
-    f"""with {TM} select cast(0 as bigint) as mismatches, cast(count(*) as bigint) as rows from pl""",
+    f"""with {TM}, f as (select *, avg(goals_for) over ({W} rows between 5 preceding and 1 preceding) as own,
+        avg(goals_for) over ({W} rows between 4 preceding and current row) as leaked from pl),
+    p as (select *, case when event_id % 9 = 0 then leaked when event_id % 11 = 0 then null else own end as seen from f)
+    select team_id, cast(count(*) as bigint) as mismatches from p
+    where (seen is null) <> (own is null) or abs(seen - own) > 1e-8 + 1e-5 * abs(own) group by 1""",
 )
 def rolling_assert(spark, sf):
+    """Rows whose mean sees its own row, or is missing, are planted and found by team."""
     rows = rolling_features(played(spark, sf), ["goals_for"], means=(5,), spread=None, trend=None, rest=None)
-    wrong = rolling_mismatches(rows, "goals_for", "rolling_goals_for_5", 5, team="team_id")
-    flagged = wrong.select(F.lit(1).alias("bad")).unionByName(rows.select(F.lit(0).alias("bad")))
-    return flagged.agg(
-        F.count_if(F.col("bad") == 1).alias("mismatches"), F.count_if(F.col("bad") == 0).alias("rows")
+    with_own = over_recent(
+        rows, ["team_id"], ["kickoff_utc", "event_id"], 4, lambda frame, w: {"_leaked": F.avg("goals_for").over(w.rowsBetween(-4, 0))}
     )
+    planted = F.when(F.col("event_id") % 9 == 0, F.col("_leaked")).when(F.col("event_id") % 11 != 0, F.col("rolling_goals_for_5"))
+    wrong = rolling_mismatches(with_own.withColumn("rolling_goals_for_5", planted), "goals_for", "rolling_goals_for_5", 5, team="team_id")
+    return wrong.groupBy("team_id").agg(F.count(F.lit(1)).alias("mismatches"))

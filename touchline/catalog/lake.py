@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from touchline.catalog.base import query, table
+from touchline.operators.aggregates import high_water, merge_high_water
 from touchline.session import fresh_path
 from touchline.sources import audit, io
 from touchline.sources.bronze import store_payloads
+from touchline.sources.tables import merge_run
 
 ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
 NAMES = ORDERS.split(", ")
@@ -98,6 +102,51 @@ def run_record(spark, sf):
     )
 
 
+@query(
+    "latest_run",
+    """select 'run-' || event_type as run_id, max(ts)::timestamp as finished_at, count(*) as events,
+      count_if(event_id % 10 = 0)::bigint as errors, count_if(event_id % 10 <> 0)::bigint as succeeded,
+      case when count_if(event_id % 10 = 0) > 0 and count_if(event_id % 10 <> 0) = 0 then 'failed'
+        when count_if(event_id % 10 = 0) > 0 then 'partial_success' else 'success' end as status
+    from events where event_type in ('click', 'view', 'purchase') group by event_type
+    order by finished_at desc, run_id desc limit 1""",
+)
+def latest_run(spark, sf):
+    """A run for each of three kinds of events in the log; the one that finished last."""
+    path = fresh_path(spark, "runs")
+    failed = F.col("event_id") % 10 == 0
+    for kind in ("click", "view", "purchase"):
+        part = table(spark, sf, "events").where(F.col("event_type") == kind)
+        ended = part.agg(F.max("ts").cast("timestamp")).first()[0]
+        if ended is not None:
+            io.record_run(
+                part, path, f"run-{kind}", F.lit(ended), F.lit(ended), events=F.count(F.lit(1)), errors=F.count_if(failed),
+                succeeded=F.count_if(~failed),
+            )
+    return io.latest_run(spark, path).drop("started_at").withColumn("finished_at", F.col("finished_at").cast("timestamp_ntz"))
+
+
+@query(
+    "high_water_merge",
+    """with r as (select o_custkey % 48 as team_id, o_orderkey % 3 as run, max(o_orderdate) as d,
+        bool_or(o_orderstatus = 'P' and o_custkey % 5 = 0) as c from orders group by 1, 2)
+    select team_id, max_by(d, run) as latest_match_date, coalesce(bool_or(c), false) as history_complete, max(run) as updated_at
+    from r group by 1""",
+)
+def high_water_merge(spark, sf):
+    """Three runs merged into the state, the second one twice and the first one again at the end."""
+    schema = f"touchline_{uuid.uuid4().hex}"
+    spark.sql(f"create schema {schema} location '{fresh_path(spark, 'state')}'")
+    events = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 48).alias("team_id"), F.col("o_orderdate").alias("match_date"), "o_orderkey",
+        ((F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 5 == 0)).alias("complete"),
+    )
+    for run in (0, 1, 1, 2, 0):
+        part = events.where(F.col("o_orderkey") % 3 == run)
+        state = merge_run(spark, schema, "high_water", high_water(part, F.col("complete"), F.col("o_orderkey") % 3), merge_high_water)
+    return state
+
+
 @query(
     "bronze_store",
     """select event_type as category, count(distinct json_extract_string(props, '$.k')) as payloads, 0::bigint as second_run

@@ -75,12 +75,19 @@ def team_stats_quality(spark, sf):
 
 @query(
     "mart_grain",
-    f"""with {TM} select 'event_id contains nulls' as rule, count(*) filter (event_id is null) as violations from tm
-    union all select 'side contains other values than home/away', count(*) filter (side not in ('home', 'away')) from tm
-    union all select 'event_id + side is not unique', 0""",
+    f"""with {TM}, bad as (select case when event_id % 50 <> 0 then event_id - case when event_id % 40 = 1 then 1 else 0 end end as event_id,
+      case when event_id % 60 = 7 then 'both' when event_id % 70 <> 9 then side end as side from tm)
+    select 'event_id contains nulls' as rule, count(*) filter (event_id is null) as violations from bad
+    union all select 'side contains other values than home/away', count(*) filter (coalesce(side not in ('home', 'away'), true)) from bad
+    union all select 'event_id + side is not unique', coalesce(cast(sum(c - 1) as bigint), 0)
+      from (select count(*) as c from bad group by event_id, side having count(*) > 1)""",
 )
 def mart_grain(spark, sf):
-    return q.violations(team_rows(spark, sf), grain_rules("fct_team_matches"))
+    """Rows with planted errors: nulls, another side and repeated keys."""
+    e = F.col("event_id")
+    side = F.when(e % 60 == 7, "both").when(e % 70 != 9, F.col("side"))
+    key = F.when(e % 50 != 0, e - F.when(e % 40 == 1, 1).otherwise(0))
+    return q.violations(team_rows(spark, sf).withColumns({"side": side, "event_id": key}), grain_rules("fct_team_matches"))
 
 
 @query(

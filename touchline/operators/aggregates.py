@@ -338,16 +338,20 @@ def high_water(events: DataFrame, complete: Column, updated_at: Column, team: st
 
 
 def merge_high_water(state: DataFrame, run: DataFrame, team: str = "team_id") -> DataFrame:
-    """State after a run: its date replaces the old one, completeness stays."""
+    """State after a run: the date of the later update counts, completeness stays.
+
+    A run merged again, or after a later one, changes no date. A row without ``updated_at`` is the older one.
+    """
     new = run.select(
         F.col(team), F.col("latest_match_date").alias("_date"), F.col("history_complete").alias("_done"),
-        F.col("updated_at").alias("_at"),
+        F.col("updated_at").alias("_at"), F.lit(True).alias("_run"),
     )
+    later = F.col("_run").isNotNull() & F.coalesce(F.col("_at") >= F.col("updated_at"), F.col("updated_at").isNull())
     return state.join(new, team, "full").select(
         team,
-        F.when(F.col("_at").isNotNull(), F.col("_date")).otherwise(F.col("latest_match_date")).alias("latest_match_date"),
+        F.when(later, F.col("_date")).otherwise(F.col("latest_match_date")).alias("latest_match_date"),
         (F.coalesce("history_complete", F.lit(False)) | F.coalesce("_done", F.lit(False))).alias("history_complete"),
-        F.coalesce("_at", "updated_at").alias("updated_at"),
+        F.when(later, F.col("_at")).otherwise(F.col("updated_at")).alias("updated_at"),
     )
 
 

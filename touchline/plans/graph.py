@@ -26,6 +26,7 @@ from touchline.plans.marts import (
     stats_for_against,
 )
 from touchline.sources.io import register_views
+from touchline.sources.tables import publish, version_name
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,7 @@ def run_models(spark: SparkSession, models: Sequence[Model], sources: dict[str,
             if not model.saved:
                 built[model.name] = views[model.name] = df
                 continue
-            name = f"{schema}.{model.name}__{run}"
+            name = version_name(schema, model.name, run)
             written[model.name] = name
             df.write.format("parquet").saveAsTable(name)
             built[model.name] = spark.table(name)
@@ -95,19 +96,10 @@ def run_models(spark: SparkSession, models: Sequence[Model], sources: dict[str,
             spark.sql(f"drop table if exists {name}")
         raise
     register_views(views)
-    for model, name in written.items():
-        spark.sql(f"create or replace view {schema}.{model} as select * from {name}")
-    _drop_older(spark, schema, set(written), run)
+    publish(spark, schema, written)
     return {m.name: spark.table(f"{schema}.{m.name}") if m.saved else built[m.name] for m in models}
 
 
-def _drop_older(spark: SparkSession, schema: str, names: set[str], run: str):
-    for row in spark.sql(f"show tables in {schema} like '*__*'").collect():
-        model, _, of = row["tableName"].rpartition("__")
-        if model in names and of != run:
-            spark.sql(f"drop table if exists {schema}.{row['tableName']}")
-
-
 def _named(columns: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.select(*[F.col(f"`{c}`") for c in columns])
 

@@ -110,6 +110,23 @@ def run_metrics(df: DataFrame, **counters: Column) -> DataFrame:
     return counted.withColumn("status", run_status(F.col("errors"), F.col("succeeded")))
 
 
+def record_run(df: DataFrame, path: str, run_id: str, started_at: Column, finished_at: Column, **counters: Column):
+    """Append the counters and status of one run to the run log."""
+    metrics = run_metrics(df, **counters)
+    stamped = metrics.select(
+        F.lit(run_id).alias("run_id"), started_at.cast("timestamp").alias("started_at"),
+        finished_at.cast("timestamp").alias("finished_at"), "*",
+    )
+    stamped.coalesce(1).write.mode("append").parquet(path)
+
+
+def latest_run(spark: SparkSession, path: str) -> DataFrame:
+    """The row of the run that finished last (ties: largest id); no rows if the log holds none."""
+    log = spark.read.parquet(path)
+    last = F.max_by(F.struct(*log.columns), F.struct("finished_at", "run_id"))
+    return log.agg(last.alias("_run")).where("_run is not null").select("_run.*")
+
+
 def run_status(errors: Column, succeeded: Column) -> Column:
     """Failed, partial_success or success."""
     return (
