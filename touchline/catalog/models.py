@@ -78,6 +78,69 @@ def score_fixtures(spark, sf):
     return m.score_fixtures(rows, outcome, rates, NUMERIC, "v1")
 
 
+HOST = "scores.example.com"
+
+
+@query(
+    "link_predictions",
+    f"""with {TM}, f as (select event_id, team_id, kickoff_utc, training_eligible, side,
+        avg(goals_for) over w as gf, avg(goals_against) over w as ga from pl
+        window w as (partition by team_id order by kickoff_utc, event_id rows between 5 preceding and 1 preceding)),
+      up as (select event_id, kickoff_utc, home_team_id, away_team_id, case when event_id % 10 = 3 then 'https://elsewhere.example.com/x#id:' || event_id
+          when event_id % 10 = 4 then 'https://{HOST}/x/y' else 'https://{HOST}/x/y#id:' || event_id end as url,
+          event_id % 10 = 3 as elsewhere, event_id % 10 = 4 as bare, event_id % 9 = 2 and event_id % 18 <> 2 as unknown,
+          event_id % 25 = 0 as single, home_team_id % 16 = 5 as no_home, away_team_id % 16 = 5 as no_away
+        from fx where status_type = 'notstarted'),
+      past as (select up.event_id, s.side, f.event_id as other, f.gf, f.ga, f.kickoff_utc, row_number() over (partition by up.event_id, s.side
+          order by f.kickoff_utc desc, f.event_id desc) as place
+        from up, (values ('home'), ('away')) s(side), f
+        where f.team_id = case s.side when 'home' then up.home_team_id else up.away_team_id end and f.kickoff_utc < up.kickoff_utc),
+      r as (select up.*, h.gf as hf, a.gf as af, h.kickoff_utc as hk,
+          case when elsewhere then 'not a supported match link' when bare then 'link has no event id'
+            when unknown then 'no payload for the event' when single then 'event does not contain two teams'
+            when no_home or no_away then 'no team history for: ' || concat_ws(', ', case when no_home then 'Team ' || home_team_id end,
+              case when no_away then 'Team ' || away_team_id end)
+            when h.other is null or a.other is null then 'no earlier match of both teams' end as reason
+        from up left join past h on h.event_id = up.event_id and h.side = 'home' and h.place = 1
+          left join past a on a.event_id = up.event_id and a.side = 'away' and a.place = 1)
+    select url, case when not elsewhere and not bare then event_id end as event_id, reason as reject_reason,
+      case when reason is null then round(hf, 6) end as rolling_goals_for_5,
+      case when reason is null then round(af, 6) end as opponent_rolling_goals_for_5,
+      case when reason is null then round((epoch_us(kickoff_utc) - epoch_us(hk)) / 86400000000.0, 6) end as rest_days,
+      case when reason is null then 1.0::double end as total, case when reason is null then 'v1' end as model_version from r""",
+)
+def link_predictions(spark, sf):
+    """Links of coming matches to predictions; chances add up to one, and each link without any keeps its reason."""
+    history = cut_lineage(home_rows(spark, sf))
+    outcome = m.fit_outcome(history, NUMERIC)
+    rates = {side: m.fit_rate(history, NUMERIC, f"goals_{of}") for side, of in (("home", "for"), ("away", "against"))}
+    e = F.col("event_id")
+    coming = fixtures(spark, sf).where("status_type = 'notstarted'")
+    link = F.when(e % 10 == 3, F.concat(F.lit("https://elsewhere.example.com/x#id:"), e)).when(e % 10 == 4, F.lit(f"https://{HOST}/x/y"))
+    links = coming.select(F.coalesce(link, F.concat(F.lit(f"https://{HOST}/x/y#id:"), e)).alias("url"))
+
+    def team(side):
+        number = F.col(f"{side}_team_id")
+        return F.struct(number.alias("id"), F.concat(F.lit("Team "), number).alias("name"))
+
+    away = F.when(e % 25 != 0, team("away"))
+    payload = F.to_json(F.struct(F.struct(
+        F.unix_seconds(F.col("kickoff_utc").cast("timestamp")).alias("startTimestamp"), team("home").alias("homeTeam"), away.alias("awayTeam")
+    ).alias("event")))
+    payloads = coming.select("event_id", payload.alias("payload"), F.lit(1).alias("fetched_at"))
+    teams = team_rows(spark, sf).where("team_id % 16 <> 5").select(
+        F.col("team_id").alias("source_team_id"), "team_id", F.lit(None).cast("string").alias("country_name")
+    ).distinct()
+    scored, rejected = m.predict_links(
+        links, payloads.where(e % 9 != 2), payloads.where(e % 18 == 2), teams, [HOST], master(spark, sf), outcome, rates, NUMERIC, "v1",
+        newest="fetched_at",
+    )
+    total = sum((F.col(f"probability_{n}") for n in m.LABELS), F.lit(0.0))
+    numbers = ["rolling_goals_for_5", "opponent_rolling_goals_for_5", "rest_days"]
+    out = scored.select("url", "event_id", *[r(c).alias(c) for c in numbers], r(total).alias("total"), "model_version")
+    return out.unionByName(rejected, allowMissingColumns=True)
+
+
 KINDS = ["continental_championship", "friendly", "nations_league", "world_cup", "world_cup_qualifier"]
 FREE = {"rate": 1.0, "rows": 1.0, "inputs": 1.0, "penalty": 0.0, "least_weight": 0.0, "least_gain": 1e-18}
 

@@ -18,7 +18,7 @@ from touchline.functions.scoreline import poisson_over
 from touchline.operators.aggregates import count_metrics, dispersion, enough_values, probability_metrics
 from touchline.operators.split import chronological_split
 from touchline.plans import boosting
-from touchline.plans.serving import with_prediction_markets
+from touchline.plans.serving import different_teams, fixture_features, link_fixtures, with_prediction_markets
 from touchline.session import cut_lineage
 
 # Fixed values of the models.
@@ -366,3 +366,35 @@ def score_fixtures(
     for side in ("home", "away"):
         scored = predict_rate(rates[side], scored, features, f"{side}_rate", 0.05, 6.0)
     return with_prediction_markets(scored, "home_rate", "away_rate").withColumn("model_version", F.lit(version))
+
+
+def predict_links(
+    links: DataFrame,
+    payloads: DataFrame,
+    cache: DataFrame,
+    teams: DataFrame,
+    hosts: Sequence[str],
+    master: DataFrame,
+    outcome: PipelineModel,
+    rates: dict[str, PipelineModel],
+    features: Sequence[str],
+    version: str,
+    *,
+    newest: str,
+    url: str = "url",
+) -> tuple[DataFrame, DataFrame]:
+    """F17 to M9 in one: match links to predictions; a link that gets none is in the second result with its reason.
+
+    An event is scored once, however many links lead to it. Teams need an earlier match each, and can't meet themselves.
+    """
+    found, rejected = link_fixtures(links, payloads, cache, teams, hosts, newest=newest, url=url)
+    kind = master.schema["kickoff_utc"].dataType
+    found = cut_lineage(found.drop("reject_reason").withColumn("kickoff_utc", F.col("kickoff_utc").cast(kind)))
+    events = found.drop(url).dropDuplicates(["event_id"])
+    rows = cut_lineage(fixture_features(different_teams(events), master, features))
+    scored = score_fixtures(rows.where("has_history").drop("has_history"), outcome, rates, features, version)
+    known = rows.select("event_id", "has_history")
+    unscored = found.select(url, "event_id").join(known, "event_id", "left").where("not coalesce(has_history, false)").select(
+        url, "event_id", F.when(F.col("has_history").isNull(), "a team cannot meet itself").otherwise("no earlier match of both teams").alias("reject_reason")
+    )
+    return found.select(url, "event_id").join(scored, "event_id"), rejected.unionByName(unscored)
