@@ -78,6 +78,43 @@ def score_fixtures(spark, sf):
     return m.score_fixtures(rows, outcome, rates, NUMERIC, "v1")
 
 
+WEIGHTS = {"rolling_goals_for_5": 0.6, "opponent_rolling_goals_for_5": -0.5, "neutral_site": -0.2, "rest_days": 0.0}
+LINEAR = " + ".join(f"{w} * coalesce({c}, 0)" for c, w in WEIGHTS.items())
+LOG_LOSS = "-ln(case when result = 'win' then p else 1 - p end)"
+
+
+@query(
+    "permutation_importances",
+    f"""with {TM}, f as (select event_id, team_id, opponent_id, kickoff_utc, side, result, training_eligible, neutral_site,
+        avg(goals_for) over (w rows between 5 preceding and 1 preceding) as rolling_goals_for_5,
+        (epoch_us(kickoff_utc) - epoch_us(lag(kickoff_utc) over w)) / 86400000000.0 as rest_days from pl
+        window w as (partition by team_id order by kickoff_utc, event_id)),
+      g as (select a.*, b.rolling_goals_for_5 as opponent_rolling_goals_for_5 from f a
+        left join f b on a.event_id = b.event_id and a.opponent_id = b.team_id
+        where a.side = 'home' and a.training_eligible),
+      n as (select *, row_number() over (order by kickoff_utc, event_id) as n, count(*) over () as c from g),
+      h as (select *, row_number() over (order by md5('7:' || event_id)) as at, count(*) over () as rows from n where n > floor(c * 0.85::double)),
+      s as (select feature, 1 + cast('0x' || substr(md5('7:' || feature), 1, 8) as bigint) % (select any_value(rows) - 1 from h) as shift
+        from (values {", ".join(f"('{c}')" for c in WEIGHTS)}) t(feature)),
+      x as (select s.feature, h.result, {", ".join(f"case when s.feature = '{c}' then d.{c} else h.{c} end as {c}" for c in WEIGHTS)}
+        from h cross join s join h d on d.at = (h.at - 1 + s.shift) % h.rows + 1
+        union all select null, result, {", ".join(WEIGHTS)} from h),
+      p as (select *, 1 / (1 + exp(-({LINEAR}))) as p from x),
+      l as (select feature, avg({LOG_LOSS}) as loss from p group by 1)
+    select l.feature, round(b.loss, 6) as loss, round(l.loss, 6) as permuted_loss, round(l.loss - b.loss, 6) as importance
+    from l join l b on b.feature is null where l.feature is not null""",
+)
+def permutation_importances(spark, sf):
+    """A given logistic model of a home win on the last held-out part; it does not use the rest days."""
+    test = chronological_split(home_rows(spark, sf)).where("split = 'test'")
+
+    def score(rows):
+        return rows.withColumn("p", F.expr(f"1 / (1 + exp(-({LINEAR})))"))
+
+    out = m.permutation_importances(test, score, list(WEIGHTS), F.expr(LOG_LOSS), seed=7)
+    return out.select("feature", *[r(c).alias(c) for c in ("loss", "permuted_loss", "importance")])
+
+
 HOST = "scores.example.com"
 
 

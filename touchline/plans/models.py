@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,12 +11,13 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import clip
 from touchline.functions.scoreline import poisson_over
 from touchline.operators.aggregates import count_metrics, dispersion, enough_values, probability_metrics
+from touchline.operators.ordered import row_positions
 from touchline.operators.split import chronological_split
 from touchline.plans import boosting
 from touchline.plans.serving import different_teams, fixture_features, link_fixtures, with_prediction_markets
@@ -266,6 +268,44 @@ def feature_importances(model: PipelineModel, df: DataFrame, features: Sequence[
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def permutation_importances(
+    held_out: DataFrame, score: Callable[[DataFrame], DataFrame], features: Sequence[str], loss: Column,
+    key: Sequence[str] = ("event_id",), seed: int = 0,
+) -> DataFrame:
+    """How much the mean loss on held-out rows grows when one input comes from another row.
+
+    Rows are put in the order of a seeded hash of their key; for each input a shift of its own along that order names the
+    row to take it from, so every value is used exactly once. ``score`` sees all inputs' copies and the rows as they are in
+    one DataFrame, and ``loss`` is taken over its result. Rows of one key make the order, and so the result, uncertain.
+    Fewer than two rows have no other row: their importance is 0. No rows give no result.
+    """
+    spark = held_out.sparkSession
+    seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(f"`{c}`").cast("string") for c in key]))
+    rows = cut_lineage(row_positions(held_out.withColumn("_order", seeded), ["_order"], "_at"))
+    n = rows.count()
+    shifts = [(None, 0)] + [
+        (name, 1 + int(hashlib.md5(f"{seed}:{name}".encode()).hexdigest()[:8], 16) % (n - 1) if n > 1 else 0) for name in features
+    ]
+    copies = F.explode(F.array(*[F.struct(F.lit(c).cast("string").alias("_input"), F.lit(s).cast("long").alias("_shift")) for c, s in shifts]))
+    spread = rows.withColumn("_copy", copies).select(
+        *[F.col(f"`{c}`") for c in rows.columns], "_copy._input",
+        F.when(F.col("_copy._input").isNotNull(), (F.col("_at") - 1 + F.col("_copy._shift")) % max(n, 1) + 1).alias("_from"),
+    )
+    donors = rows.select(F.col("_at").alias("_from"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(features)]).alias("_donor"))
+    mixed = spread.join(donors, "_from", "left").select(
+        "_input", *[F.col(f"`{c}`") for c in held_out.columns if c not in features],
+        *[F.when(F.col("_input") == c, F.col(f"_donor.c{i}")).otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(features)],
+    )
+    means = score(mixed).groupBy("_input").agg(F.avg(loss).alias("_loss"))
+    base = means.where("_input is null").select(F.col("_loss").alias("loss"))
+    names = spark.createDataFrame([(c,) for c in features], "feature string")
+    return (
+        names.join(means.where("_input is not null"), F.col("feature") == F.col("_input"))
+        .join(base)
+        .select("feature", "loss", F.col("_loss").alias("permuted_loss"), (F.col("_loss") - F.col("loss")).alias("importance"))
+    )
+
+
 def fit_rate(train: DataFrame, features: Sequence[str], target: str, boosted: bool = False, rounds: int = BOOST_ROUNDS,
     alpha: float = POISSON_ALPHA,
 ):
