@@ -3,9 +3,16 @@
 1. Each distinct shingle ranks the slots by a random permutation of its own; a slot keeps the smallest rank plus
    fraction. A rank is looked at only while some slot of the document is still unfilled (early stopping).
 2. Documents with the same shingle set form one class. Classes that share a band form candidate groups.
-3. Candidate groups are compared on full sets. A large group is split into blocks, and each task gets two of them,
-   so no task holds a whole group. A task returns a spanning forest of its links, never all pairs.
-4. Components of the verified links, spread over all members of each class.
+3. A candidate group that outgrows one block is first taken apart by its rare shingles: two sets that are similar enough
+   share one of the rarest shingles of each (as many as one of them can lack, and one more). This holds for any common
+   order of shingles; how rare one is, is counted in a block of the group. Pages of one template, which chain by bands,
+   fall apart here. In the same pass every class is held against a few classes of the block (pivots).
+4. What is left is compared on full sets, in blocks of bounded classes and shingles; each task gets two blocks. Classes
+   linked to the same pivot are not compared with one another. A task returns a spanning forest of its links, never all
+   pairs.
+5. Components of the verified links, spread over all members of each class.
+
+Shingles are 64-bit hashes of words; a set is told by a 128-bit key.
 
 Defined results: texts without words have an empty set, no links, and stay; null ids are allowed; repeated rows are in
 one class; ties go to the smallest id; extra columns are not carried, so their names cannot clash.
@@ -17,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.spread import components, keep, runs
@@ -26,6 +33,9 @@ from touchline.llm.words import U64, mix, signed, word_slices
 WORDS = 5
 BAND_ROWS = 8
 BLOCK = 512  # classes of a candidate group in one block
+SHINGLES = 1_000_000  # shingles in one block, if no single set has more
+PIVOTS = 4  # classes that all others of a large group are held against
+ROUNDS = 2  # times that large groups are taken apart
 MISSES = 1e-5  # chance that a pair just at the threshold shares no band
 _STEP = U64(0xD1342543DE82EF95)
 _WRAP = (1 << 64) - 1
@@ -180,13 +190,14 @@ def linked_forest(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> li
     return [(int(nodes[label[i]]), int(nodes[i])) for i in range(n) if label[i] != i and nodes[label[i]] != nodes[i]]
 
 
-def verified_links(docs: DataFrame, members: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """Links between candidate classes, confirmed on full sets.
+def class_sets(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, shingles): the full set of each class, from one of its documents.
 
-    ``members``: node, rep (a document of the class), key1, key2, root, blocks.
+    ``members``: node, rep and rep_key (id and text hash of a document of the class), key1, key2.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    known = texts.join(members, F.col("_id").eqNullSafe(F.col("rep"))).select("text", "node", "key1", "key2", "root", "blocks")
+    own_text = F.col("_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("rep_key"))
+    known = texts.join(members, own_text).select("text", "node", "key1", "key2")
 
     def full(batches):
         for batch in batches:
@@ -196,16 +207,97 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, words: int
                 part = batch.slice(first, last - first)
                 own = (signed(key1) == part.column("key1").to_numpy()) & (signed(key2) == part.column("key2").to_numpy())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(flat)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("root"), part.column("blocks"), lists], ["node", "root", "blocks", "shingles"]
-                ).filter(pa.array(own))
-
-    sets = known.mapInArrow(full, "node long, root long, blocks int, shingles array<long>")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = sets.withColumn("_own", own).withColumn("_other", other).select(
-        "root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "shingles"
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "shingles"]).filter(pa.array(own))
+
+    return known.mapInArrow(full, "node long, shingles array<long>")
+
+
+def _blocks(rows=None):
+    """Blocks that a number of classes and their shingles need, as an aggregate."""
+    count, total = (F.count(F.lit(1)), F.sum("n_shingles")) if rows is None else (F.count_if(rows), F.sum(F.when(rows, F.col("n_shingles"))))
+    return F.ceil(F.greatest(count / BLOCK, F.coalesce(total, F.lit(0)) / SHINGLES)).cast("int")
+
+
+def _sets_of(table: pa.Table) -> list[np.ndarray]:
+    lists = table.column("shingles").combine_chunks()
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def rare_shingles(items: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set: as many as a similar enough set can lack, and one more."""
+    weight = np.zeros(len(items), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, items), len(common) - 1)
+        weight = np.where(common[at] == items, counts[at], 0)
+    most = (100 - percent) * len(items) // 100 + 1
+    return items[np.lexsort((items, weight))[:most]]
+
+
+def _survey(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """node, root, ``bands`` (its rare shingles, told apart by group) and ``linked`` (pivots it is verified to be linked to).
+
+    ``groups``: node, root, n_shingles, blocks.
+    """
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = sets.join(groups, "node").withColumn("block", block)
+    sample = rows.where("block = 0")
+    counted = sample.select("root", "blocks", F.explode("shingles").alias("s")).groupBy("root", "blocks", "s").agg(F.count(F.lit(1)).alias("c"))
+    listed = counted.where("c > 1").groupBy("root", "blocks").agg(F.collect_list(F.struct("s", "c")).alias("l"))
+    order = Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(1)), "node")
+    pivots = sample.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PIVOTS)
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    none = F.array().cast("array<long>").alias("counts")
+    dealt = (
+        listed.select("root", everywhere, F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("node"), F.col("l.s").alias("shingles"), F.col("l.c").alias("counts"))
+        .unionByName(pivots.select("root", everywhere, F.lit(1).alias("kind"), "node", "shingles", none))
+        .unionByName(rows.select("root", "block", F.lit(2).alias("kind"), "node", "shingles", none))
     )
+    key = ["root", "block"]
+
+    def run(batches):
+        for table in runs(batches, key):
+            kinds, nodes = table.column("kind").to_numpy(), table.column("node").to_numpy()
+            root = mix(table.column("root").to_numpy()[:1].view(U64))
+            sets_, common, counts, held = _sets_of(table), np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), []
+            tokens, linked = [], []
+            for k, items in enumerate(sets_):
+                if kinds[k] == 0:
+                    at = np.argsort(items)
+                    common, counts = items[at], np.array(table.column("counts")[k].as_py(), dtype=np.int64)[at]
+                elif kinds[k] == 1:
+                    held.append((int(nodes[k]), items))
+                else:
+                    tokens.append(signed(mix(rare_shingles(items, common, counts, percent) ^ root)).tolist())
+                    linked.append([p for p, other in held if p != nodes[k] and similar(items, other, percent)])
+            own = kinds == 2
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes[own]), pa.array(table.column("root").to_numpy()[own]), pa.array(tokens, pa.list_(pa.int64())), pa.array(linked, pa.list_(pa.int64()))],
+                ["node", "root", "bands", "linked"],
+            )
+
+    spread = dealt.repartition(*key).sortWithinPartitions(*key, "kind")
+    return keep(spread.mapInArrow(run, "node long, root long, bands array<long>, linked array<long>"), "rare")
+
+
+def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(one), len(other)) < percent * max(len(one), len(other)):
+        return False
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * common >= percent * (len(one) + len(other) - common)
+
+
+def _grouped(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, root, n_shingles and the blocks that its group needs."""
+    sized = members.select("node", "n_shingles").join(groups, "node")
+    return sized.join(sized.groupBy("root").agg(_blocks().alias("blocks")), "root")
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): spanning links of the verified pairs in every two blocks that were dealt together.
+
+    ``rows``: root, i, j, node, shingles.
+    """
     key = ["root", "i", "j"]
 
     def compare(batches):
@@ -213,13 +305,40 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, words: int
             nodes = table.column("node").to_numpy()
             if len(nodes) < 2:
                 continue
-            lists = table.column("shingles").combine_chunks()
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
-            edges = linked_forest(nodes, [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], percent)
+            edges = linked_forest(nodes, _sets_of(table), percent)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
 
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """Links between classes that share a band, confirmed on full sets; they join every verified component."""
+    members = classes.drop("bands")
+    grouped = keep(_grouped(members, components(candidate_links(classes))), "groups")
+    small = members.join(grouped.where("blocks = 1").select("node", "root"), "node")
+    zero = F.lit(0)
+    alone = class_sets(docs, small, words).join(small.select("node", "root"), "node")
+    links = _compared(alone.select("root", zero.alias("i"), zero.alias("j"), "node", "shingles"), percent)
+    large = grouped.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    sets = keep(class_sets(docs, members.join(large.select("node"), "node"), words), "sets")
+    for _ in range(ROUNDS):
+        seen = _survey(sets, large, percent)
+        pairs = seen.select("node", "root", F.explode("linked").alias("pivot"))
+        links = links.unionByName(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        best = pairs.groupBy("root", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "pivot")).alias("best"))
+        joined = pairs.join(best, "root").where("pivot = best.pivot").select("node").unionByName(best.select(F.col("best.pivot").alias("node"))).distinct()
+        large = keep(_grouped(members, components(candidate_links(seen))), "groups")
+    # Two classes linked to one pivot need no comparison: blocks of joined classes meet only blocks of the others.
+    marked = large.join(joined.withColumn("joined", F.lit(True)), "node", "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
+    counts = marked.groupBy("root").agg(_blocks(F.col("joined")).alias("p"), _blocks(~F.col("joined")).alias("r")).where("r > 0")
+    own = F.when(F.col("joined"), F.pmod(F.xxhash64("node"), F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("r"))).cast("int")
+    others = F.sequence(F.when(F.col("joined"), F.col("p")).otherwise(zero), F.col("p") + F.col("r") - 1)
+    dealt = marked.join(counts, "root").withColumn("_own", own).withColumn("_other", F.explode(others))
+    dealt = dealt.select("node", "root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+    return links.unionByName(_compared(sets.join(dealt, "node").select("root", "i", "j", "node", "shingles"), percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
@@ -233,12 +352,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
 def components_of(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
     """``near_duplicates`` and a number of the component (``root``), null for a text without words."""
     signed_docs = keep(signatures(docs, percent, words), "signatures")
-    grouped = signed_docs.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = keep(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    groups = components(candidate_links(classes))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = classes.select("node", "rep", "key1", "key2").join(groups, "node").join(sizes, "root")
-    found = components(verified_links(docs, members, percent, words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    grouped = signed_docs.where("n_shingles > 0").groupBy("key1", "key2").agg(first, F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
+    named_classes = grouped.select("key1", "key2", "bands", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"))
+    classes = keep(named_classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = components(verified_links(docs, classes, percent, words))
     rooted = classes.select("node", "rep", "key1", "key2").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = rooted.join(lowest, "root").select("key1", "key2", "component_id", "root")
