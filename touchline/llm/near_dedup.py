@@ -8,7 +8,7 @@
    order of shingles; how rare one is, is counted in a block of the group. Pages of one template, which chain by bands,
    fall apart here. In the same pass every class is held against a few classes of the block (pivots).
 4. What is left is compared on full sets, in blocks of bounded classes and shingles; each task gets two blocks. Classes
-   linked to the same pivot are not compared with one another. A task returns a spanning forest of its links, never all
+   that pivots have already joined are not compared with one another. A task returns a spanning forest of its links, never all
    pairs.
 5. Components of the verified links, spread over all members of each class.
 
@@ -34,7 +34,7 @@ WORDS = 5
 BAND_ROWS = 8
 BLOCK = 512  # classes of a candidate group in one block
 SHINGLES = 1_000_000  # shingles in one block, if no single set has more
-PIVOTS = 4  # classes that all others of a large group are held against
+PIVOTS = 16  # classes that all others of a large group are held against
 ROUNDS = 2  # times that large groups are taken apart
 MISSES = 1e-5  # chance that a pair just at the threshold shares no band
 _STEP = U64(0xD1342543DE82EF95)
@@ -316,29 +316,39 @@ def verified_links(docs: DataFrame, classes: DataFrame, percent: int, words: int
     """Links between classes that share a band, confirmed on full sets; they join every verified component."""
     members = classes.drop("bands")
     grouped = keep(_grouped(members, components(candidate_links(classes))), "groups")
-    small = members.join(grouped.where("blocks = 1").select("node", "root"), "node")
+    sets = keep(class_sets(docs, members.join(grouped.select("node"), "node"), words), "sets")
     zero = F.lit(0)
-    alone = class_sets(docs, small, words).join(small.select("node", "root"), "node")
-    links = _compared(alone.select("root", zero.alias("i"), zero.alias("j"), "node", "shingles"), percent)
+    ready = grouped.where("blocks = 1").select("node", "root", zero.alias("i"), zero.alias("j"))
     large = grouped.where("blocks > 1")
-    if large.isEmpty():
-        return links
-    sets = keep(class_sets(docs, members.join(large.select("node"), "node"), words), "sets")
-    for _ in range(ROUNDS):
+    pivot_links = []
+    for left in reversed(range(ROUNDS)):
+        if large.isEmpty():
+            break
         seen = _survey(sets, large, percent)
-        pairs = seen.select("node", "root", F.explode("linked").alias("pivot"))
-        links = links.unionByName(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        best = pairs.groupBy("root", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "pivot")).alias("best"))
-        joined = pairs.join(best, "root").where("pivot = best.pivot").select("node").unionByName(best.select(F.col("best.pivot").alias("node"))).distinct()
-        large = keep(_grouped(members, components(candidate_links(seen))), "groups")
-    # Two classes linked to one pivot need no comparison: blocks of joined classes meet only blocks of the others.
-    marked = large.join(joined.withColumn("joined", F.lit(True)), "node", "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
-    counts = marked.groupBy("root").agg(_blocks(F.col("joined")).alias("p"), _blocks(~F.col("joined")).alias("r")).where("r > 0")
-    own = F.when(F.col("joined"), F.pmod(F.xxhash64("node"), F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("r"))).cast("int")
+        pairs = seen.select("root", F.col("node").alias("a"), F.explode("linked").alias("b"))
+        pivot_links.append(pairs.select("a", "b"))
+        labels = components(pairs).withColumnRenamed("root", "label")
+        regrouped = _grouped(members, components(candidate_links(seen))).join(labels, "node", "left")
+        best = regrouped.where("label is not null").groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
+        best = best.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+        marked = regrouped.join(best, "root", "left").withColumn("joined", F.coalesce(F.col("label") == F.col("most"), F.lit(False)))
+        counts = marked.groupBy("root").agg(_blocks(F.col("joined")).alias("p"), _blocks(~F.col("joined")).alias("r")).where("r > 0")
+        marked = keep(marked.join(counts, "root").select("node", "root", "n_shingles", "blocks", "joined", "p", "r"), "groups")
+        ready = ready.unionByName(_dealt(marked.where("blocks = 1") if left else marked))
+        large = marked.where("blocks > 1").drop("joined", "p", "r")
+    links = _compared(sets.join(ready, "node").select("root", "i", "j", "node", "shingles"), percent)
+    for more in pivot_links:
+        links = links.unionByName(more)
+    return links
+
+
+def _dealt(marked: DataFrame) -> DataFrame:
+    """(node, root, i, j): every two blocks that are to meet; blocks of joined classes meet only blocks of the others."""
+    hashed, zero = F.xxhash64("node"), F.lit(0)
+    own = F.when(F.col("joined"), F.pmod(hashed, F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(hashed, F.col("r")))
     others = F.sequence(F.when(F.col("joined"), F.col("p")).otherwise(zero), F.col("p") + F.col("r") - 1)
-    dealt = marked.join(counts, "root").withColumn("_own", own).withColumn("_other", F.explode(others))
-    dealt = dealt.select("node", "root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
-    return links.unionByName(_compared(sets.join(dealt, "node").select("root", "i", "j", "node", "shingles"), percent))
+    both = marked.withColumn("_own", own.cast("int")).withColumn("_other", F.explode(others))
+    return both.select("node", "root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
