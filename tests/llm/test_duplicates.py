@@ -61,58 +61,6 @@ def test_a_large_group_is_compared_in_blocks(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == _components(rows)
 
 
-def _template_pages(rng, n):
-    """Pages of one template at 0.6, some of them with a near copy."""
-    template, rows = prose(rng, 150), []
-    for k in range(n):
-        own = prose(rng, 48)
-        rows.append((10 * k, f"{template} {own}"))
-        if k % 9 == 0:
-            rows.append((10 * k + 1, f"{template} {own} x{k}"))
-    return rows
-
-
-def test_pages_of_one_template_fall_apart(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    compared = []
-    plain = near_dedup._compared
-    monkeypatch.setattr(near_dedup, "_compared", lambda rows, percent: compared.append(rows) or plain(rows, percent))
-    rng = random.Random(6)
-    rows = _template_pages(rng, 200)
-    base = prose(rng, 150).split()
-    for k in range(120):  # a crowd that is linked to any pivot, and some that are linked to part of it only
-        words = list(base)
-        for _ in range(1 + 3 * (k % 10 == 0)):
-            words[rng.randrange(len(words))] = f"w{k}"
-        rows.append((5000 + k, " ".join(words)))
-    got = near_dedup.near_duplicates(documents(spark, rows)).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == _components(rows)
-    assert sum(r.count() for r in compared) < 4 * len(rows)
-
-
-def test_rare_shingles_of_similar_sets_meet():
-    rng = np.random.default_rng(1)
-    pool = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
-    counts = rng.integers(1, 50, len(pool))
-    met = 0
-    for _ in range(400):
-        one = np.sort(rng.choice(pool, rng.integers(1, 60), replace=False))
-        other = np.unique(np.append(one[rng.random(len(one)) < rng.choice([0.8, 0.9, 1.0])], rng.choice(pool, rng.integers(0, 5))))
-        if len(other) and near_dedup.similar(one, other, 85):
-            met += 1
-            rare = [near_dedup.rare_shingles(s, pool[::2], counts[::2], 85) for s in (one, other)]
-            assert np.isin(*rare).any()
-    assert met > 100
-
-
-def test_documents_without_an_id_do_not_multiply(spark):
-    rng = random.Random(7)
-    rows = [(None, prose(rng, 20)) for _ in range(60)]
-    docs = documents(spark, rows + rows)
-    got = near_dedup.near_duplicates(docs).collect()
-    assert len(got) == 120 and {r["component_id"] for r in got} == {None}
-
-
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     both = rng.integers(0, 2**63, 900).astype(np.uint64)
