@@ -2,7 +2,8 @@
 
 Each stage works on everything that the one before kept. The near-duplicate stage keeps exactly one row of each group, also
 of rows that repeat an id and of documents without an id; a document without an id goes if one with an id is its near copy.
-Texts without words are in no group and stay.
+Texts without words are in no group and stay. Extra columns stay, but a stage's own results take the place of columns with
+their names (``spans``, ``kept`` and ``kept_text`` of the repeated passages).
 """
 
 from __future__ import annotations
