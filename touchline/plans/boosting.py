@@ -1,7 +1,7 @@
 """Second-order boosted trees on histograms, with Poisson, softmax and squared loss.
 
-Inputs are binned once to one byte each, at quantiles, and written as blocks of rows; the fit goes over these blocks, kept
-as numpy arrays by the executors, which read them again if one is lost. A level of all trees of a round is one job: each task
+Inputs are binned once to one byte each, at quantiles, and written as blocks of rows, which are dealt evenly over the cores; the
+fit goes over these blocks, kept as numpy arrays by column by the executors, which read them again if one is lost. A level of all trees of a round is one job: each task
 adds gradients and curvatures of its rows by node, input and bin, the tables of fixed size are summed as a tree, and the
 driver picks the splits. An RDD serves that loop as it does Spark's own iterative learners: a job per level then costs a third
 of one that is planned as a query. Every ``CUT`` rounds the margins are computed into the blocks, so a task only goes through
@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from touchline.session import fresh_path
 
 BINS = 64
-CUT = 25
+CUT = 10
+TASK_ROWS = 25_000  # rows that are worth a task of their own
 DIRECT = 32  # tables that the driver adds up itself; more are added in Spark first
 
 
@@ -57,14 +58,22 @@ class Tree:
     leaf: np.ndarray
 
     def nodes(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        """Place of each row's node on a level."""
-        node = np.zeros(len(bins), dtype=np.int64)
-        row = np.arange(len(bins))
-        for _ in range(depth):
-            feature = self.feature[node]
-            right = (feature >= 0) & (bins[row, np.maximum(feature, 0)] > self.cut[node])
-            node = 2 * node + 1 + right
-        return node
+        """Number of each row's node on a level."""
+        return self.places(bins, depth).astype(np.int64) + (1 << depth) - 1
+
+    def places(self, bins: np.ndarray, depth: int) -> np.ndarray:
+        """Place of each row's node on a level, from comparisons of whole columns."""
+        place = np.zeros(len(bins), dtype=np.uint8 if depth <= 8 else np.int64)
+        for level in range(depth):
+            right = np.zeros(len(bins), dtype=bool)
+            for at in range(1 << level):
+                node = (1 << level) - 1 + at
+                if self.feature[node] < 0:
+                    continue
+                side = bins[:, self.feature[node]] > int(self.cut[node])
+                right |= side & (place == at) if level else side
+            place = 2 * place + right
+        return place
 
 
 @dataclass
@@ -76,15 +85,17 @@ class Boosted:
     gains: np.ndarray | None = None
 
     def margins(self, bins: np.ndarray, first: int = 0, start: np.ndarray | None = None) -> np.ndarray:
-        out = np.tile(self.base, (len(bins), 1)) if start is None else start.copy()
-        inner = (1 << self.settings.depth) - 1
+        out = np.array(np.tile(self.base, (len(bins), 1)) if start is None else start, order="F")
         for trees in self.trees[first:]:
             for k, tree in enumerate(trees):
-                out[:, k] += tree.leaf[tree.nodes(bins, self.settings.depth) - inner]
+                out[:, k] += tree.leaf[tree.places(bins, self.settings.depth)]
         return out
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(self.cuts)]).astype(np.uint8)
+        out = np.empty(x.shape, dtype=np.uint8, order="F")
+        for k, c in enumerate(self.cuts):
+            out[:, k] = np.searchsorted(c, x[:, k], side="left")
+        return out
 
     def predictions(self, margins: np.ndarray) -> np.ndarray:
         if self.settings.loss == "poisson":
@@ -125,10 +136,12 @@ def histogram(settings: Settings, bins, g, h, node, features: Sequence[np.ndarra
     out = np.zeros((settings.classes, level, width, n, 2))
     for k in range(settings.classes):
         own = node[:, k] >= 0
+        own = slice(None) if own.all() else own
+        first, values = node[own, k] * n, [np.ascontiguousarray(value[own, k]) for value in (g, h)]
         for f in features[k]:
-            cell = node[own, k] * n + bins[own, f]
-            for s, value in enumerate((g, h)):
-                out[k, :, f, :, s] = np.bincount(cell, weights=value[own, k], minlength=level * n).reshape(level, n)
+            cell = first + bins[own, f]
+            for s, value in enumerate(values):
+                out[k, :, f, :, s] = np.bincount(cell, weights=value, minlength=level * n).reshape(level, n)
     return out
 
 
@@ -194,7 +207,7 @@ def fit(rows: DataFrame, settings: Settings, features: str = "features", label:
     if not inputs:
         return model
     shares = [k / settings.bins for k in range(1, settings.bins)]
-    facts = ready.agg(F.avg("y").alias("mean"), *[F.percentile_approx(F.col("x")[k], shares, 10_000).alias(f"q{k}") for k in range(inputs)]).first()
+    facts = ready.agg(F.count("y").alias("rows"), F.avg("y").alias("mean"), *[F.percentile_approx(F.col("x")[k], shares, 10_000).alias(f"q{k}") for k in range(inputs)]).first()
     model.cuts = [np.unique(np.array(facts[f"q{k}"], dtype=np.float64)) for k in range(inputs)]
     if settings.loss == "poisson":
         base[:] = math.log(max(facts["mean"], 1e-6))
@@ -210,8 +223,10 @@ def fit(rows: DataFrame, settings: Settings, features: str = "features", label:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
 
     path = fresh_path(spark, "boosting")
-    ready.mapInArrow(start, "block binary").hint("rebalance").write.parquet(path)  # few large tasks for many short jobs
-    blocks = spark.read.parquet(path).rdd
+    ready.mapInArrow(start, "block binary").write.parquet(path)
+    # Each level is a job: one even share of the rows for every core, fewer where there are few rows.
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, facts["rows"] // TASK_ROWS))
+    blocks = spark.read.parquet(path).repartition(tasks).rdd
     current = None
     try:
         for turn in range(settings.rounds):
@@ -251,9 +266,9 @@ def _summed(blocks, recent: Boosted, turn: int, trees, level: int, features) ->
             some = taken(settings, key, turn)
             if not some.any():
                 continue
-            bins, y = bins[some], y[some]
-            g, h = slopes(settings, recent.margins(bins, 0, margins[some]), y)
-            node = np.column_stack([t.nodes(bins, level) - (1 << level) + 1 for t in trees])
+            bins, y = bins.T[:, some].T, y[some]
+            g, h = slopes(settings, recent.margins(bins, 0, margins.T[:, some].T), y)
+            node = np.array([t.places(bins, level) for t in trees], dtype=np.int64).T
             part_sums = histogram(settings, bins, g, h, node, features)
             total[:, : part_sums.shape[1]] += part_sums
         yield total
