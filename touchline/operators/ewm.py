@@ -188,7 +188,10 @@ def _slice_starts(sliced: DataFrame, team: str, vs: list[str], span: int) -> Dat
                 state[v] = (row[f"scale_{v}"] * x + row[f"offset_{v}"], row[f"gap_{v}"])
         return pd.DataFrame(out, columns=[f.name for f in start_fields])
 
-    summary = sliced.mapInPandas(summarise, summary_schema)
+    # Only a team that goes on into another slice leaves a state there; slices are ranges, so there is at most one for each border.
+    bounds = sliced.groupBy(F.col(team).alias("_k_team")).agg(F.min(SLICE).alias("_lo"), F.max(SLICE).alias("_hi")).where("_lo < _hi")
+    crossing = sliced.join(F.broadcast(bounds), sliced[team].eqNullSafe(F.col("_k_team")), "left_semi")
+    summary = crossing.mapInPandas(summarise, summary_schema)
     starts = summary.groupBy(team).applyInPandas(compose, T.StructType(start_fields))
     # Only slices that start inside a team carry a state: one per boundary.
     carried = starts.where(" or ".join(f"s_m_{v} is not null" for v in vs))
