@@ -13,9 +13,10 @@ from touchline.functions.scalars import clip, unix_micros
 from touchline.functions.scoreline import with_markets
 from touchline.operators.flatten import prematch_context
 from touchline.operators.history import DAY_MICROS
-from touchline.operators.joins import asof_latest, count_between, first_available, split_supported
+from touchline.operators.joins import asof_history, asof_latest, count_between, first_available, split_supported
 from touchline.operators.perspective import matchup
 from touchline.operators.sets import last_n, present
+from touchline.session import cut_lineage
 
 # Defaults of a fixture's context and output columns.
 DEFAULT_CONTEXT = {"neutral_site": 1, "competition_type": "world_cup", "round_name": "fixture"}
@@ -68,12 +69,17 @@ def fixture_features(
          *[f.removeprefix("opponent_") for f in features if f.startswith("opponent_")],
          "kickoff_utc", "elo_pre", "elo_post", "team_displayed_ranking", "team_confederation"]
     ) if c in master.columns]
+    # Both sides and the count read the same history: it is worked out once.
+    master = cut_lineage(master.select("team_id", "event_id", *[F.col(f"`{c}`") for c in own if c not in {"team_id", "event_id"}]))
+    past = cut_lineage(asof_history(
+        master, key="team_id", time="kickoff_utc", tie="event_id", columns=own, exclude=True, bounded=bounded
+    ))
     rows = fixtures
     for side in ("home", "away"):
         rows = asof_latest(
-            rows, master.select("team_id", "event_id", *[F.col(f"`{c}`") for c in own if c not in {"team_id", "event_id"}]),
+            rows, master,
             key=(f"{side}_team_id", "team_id"), at="kickoff_utc", time="kickoff_utc", tie="event_id",
-            columns={c: f"_{side}_{c}" for c in own}, exclude="event_id", bounded=bounded,
+            columns={c: f"_{side}_{c}" for c in own}, exclude="event_id", bounded=bounded, prepared=past,
         )
     wants_congestion = "fixture_congestion_14d" in features
     if wants_congestion:
