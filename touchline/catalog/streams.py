@@ -142,10 +142,11 @@ def latest_state(spark, sf):
 )
 def stream_dedupe_ids(spark, sf):
     """Ids kept in a state store without a bound by the watermark, with how often each was seen."""
-    first = keyed.first_by_id(updates(keyed.use_rocksdb(spark), sf, 3))
+    # The whole messages stay in the JVM: an id is a pandas frame of its own, which costs time by the column.
+    first = keyed.first_by_id(updates(keyed.use_rocksdb(spark), sf, 3).select("message_id"))
     checkpoint = fresh_path(spark, "seen-ids") + "-state"
     out = fresh_path(spark, "ids")
-    keyed.run_available(spark, first.select("message_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+    keyed.run_available(spark, first.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
     seen = spark.read.format("statestore").load(checkpoint).select("key.message_id", F.col("value.groupState.times").cast("int").alias("times"))
     return spark.read.schema("message_id string").parquet(out).join(seen, "message_id")
 
