@@ -98,6 +98,7 @@ def melt_pivot(
 # Text forms recognised by the column-wise cleaners.
 WIDE_FRACTION = r"^(\d+)/(\d+)\s*\((\d+)%\)$"
 WIDE_PERCENT = r"^\s*\d+(\.\d+)?%\s*$"
+MAYBE_NUMBER = r"^[^/%]*(\d|(?i:nan|inf))[^/%]*$"  # whatever a cast reads as a double matches
 
 
 def matching_columns(wide: DataFrame, columns: Sequence[str], pattern: str) -> list[str]:
@@ -154,38 +155,64 @@ def numeric_where_possible(wide: DataFrame, keys=("event_id", "side")) -> DataFr
     )
 
 
+def _decimal(value: Column) -> Column:
+    return F.replace(value, F.lit("%"), F.lit("")).try_cast("double") / 100
+
+
+def _number(value: Column) -> Column:
+    """``p%`` as a decimal, other text as the number it is; texts that can't be one aren't tried, as a failed cast is dear."""
+    return F.when(value.rlike(WIDE_PERCENT), _decimal(value)).when(value.rlike(MAYBE_NUMBER), value.try_cast("double"))
+
+
 def melt_clean(
     long: DataFrame, key: str = "event_id", stat: str = "stat_col", order: str = "ordinal", names: Sequence[str] | None = None
 ) -> DataFrame:
     """R3 to R6 in one: rows by side, fractions split, percentages as decimals, numbers where every value is one.
 
-    The first value of each cell is fixed once; one aggregate over these tells each statistic's kind, and the pivot
-    makes the cleaned columns directly. Without ``names`` the statistics found become columns.
+    The first value of each cell is fixed once, both sides in one row; one aggregate over these tells each statistic's
+    kind. The cells then travel once more, by key and still narrow, and become columns where they arrive: a key has at
+    most one row per statistic by then. Without ``names`` the statistics found become columns.
     """
-    tall = long.select(key, stat, order, "home", "away").unpivot([key, stat, order], ["home", "away"], "side", "value")
-    first = F.min_by("value", F.when(F.col("value").isNotNull(), F.col(order))).alias("value")
-    cells = cut_lineage(tall.groupBy(key, "side", stat).agg(first))
-    text = F.trim("value")
-    decimal = F.replace(F.col("value"), F.lit("%"), F.lit("")).try_cast("double") / 100
-    plain = F.when(F.col("value").rlike(WIDE_PERCENT), decimal.cast("string")).otherwise(F.col("value"))
+    sides = ("home", "away")
+    firsts = [F.min_by(s, F.when(F.col(s).isNotNull(), F.col(order))).alias(s) for s in sides]
+    cells = cut_lineage(long.groupBy(key, stat).agg(*firsts))
+
+    def of_any(test) -> Column:
+        return F.max(reduce(lambda a, b: a | b, [F.coalesce(test(F.col(s)), F.lit(False)) for s in sides]))
+
     kinds = {
         r[stat]: r for r in cells.groupBy(stat).agg(
-            F.coalesce(F.max(text.rlike(WIDE_FRACTION)), F.lit(False)).alias("fraction"),
-            (F.count(plain.try_cast("double")) == F.count("value")).alias("number"),
+            of_any(lambda v: F.trim(v).rlike(WIDE_FRACTION)).alias("fraction"),
+            of_any(lambda v: v.isNotNull() & _number(v).isNull()).alias("text"),
         ).collect()
     }
+    names = sorted(kinds) if names is None else list(names)
+    if not names:
+        return cells.select(key, F.explode(F.array(*map(F.lit, sides))).alias("side")).distinct()
+    kind = {name: "fraction" if kinds[name]["fraction"] else "text" if kinds[name]["text"] else "number" for name in names if name in kinds}
+    # Each cell is read once, as its statistic's kind says, before it becomes one of many columns.
+    both = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in sides]))
+    tall = cells.repartition(key).select(key, F.array_position(F.lit(names), F.col(stat)).alias("place"), both)
+    value, text = F.col("value"), F.trim("value")
+
+    def has(own: str) -> Column:
+        return F.col("place").isin([i for i, name in enumerate(names, 1) if kind.get(name) == own])
+
+    split = F.split(F.regexp_replace(text, WIDE_FRACTION, "$1|$2|$3"), r"\|")
+    read = tall.select(
+        key, "side", "place", F.when(has("number"), _number(value)).alias("number"),
+        F.when(has("text"), F.when(value.rlike(WIDE_PERCENT), _decimal(value).cast("string")).otherwise(value)).alias("text"),
+        F.when(has("fraction") & text.rlike(WIDE_FRACTION), split).alias("parts"),
+    )
+    read = read.select(key, "side", "place", "number", "text", *[F.col("parts")[k].try_cast("double").alias(f"p{k}") for k in range(3)])
+    kept = ["number", "text", "p0", "p1", "p2"]  # a cell is alone in its place, so the greatest is it
+    wide = read.groupBy(key, "side").pivot("place", list(range(1, len(names) + 1))).agg(*[F.max(c).alias(c) for c in kept])
     columns = []
-    for name in sorted(kinds) if names is None else names:
-        here = F.col(stat) == name
-        kind = kinds.get(name)
-        if kind is not None and kind["fraction"]:
-            for i, suffix in enumerate(("won", "total", "pct"), 1):
-                part = F.nullif(F.regexp_extract(text, WIDE_FRACTION, i), F.lit("")).try_cast("double")
-                columns.append(F.max(F.when(here, part / 100 if suffix == "pct" else part)).alias(f"{name}_{suffix}"))
-        else:
-            number = kind is None or kind["number"]
-            columns.append(F.max(F.when(here, plain.try_cast("double") if number else plain)).alias(name))
-    return cells.groupBy(key, "side").agg(*columns)
+    for i, name in enumerate(names, 1):
+        own = kind.get(name, "number")
+        made = {"_won": _q(f"{i}_p0"), "_total": _q(f"{i}_p1"), "_pct": _q(f"{i}_p2") / 100} if own == "fraction" else {"": _q(f"{i}_{own}")}
+        columns += [part.alias(f"{name}{suffix}") for suffix, part in made.items()]
+    return wide.select(key, "side", *columns)
 
 
 def pair_by_side(rows: DataFrame, value: str, key: str = "event_id") -> DataFrame:
