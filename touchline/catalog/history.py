@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.catalog.base import TM, matches, query, r, table, team_rows
+from touchline.catalog.base import TM, matches, query, r, rounded, table, team_rows
 from touchline.catalog.stats import FEATURES, WIDE, wide_stats
 from touchline.operators.ewm import ewm_features
 from touchline.operators.history import (
@@ -336,11 +336,11 @@ def _full_sql() -> str:
 def feature_master_full(spark, sf):
     """The whole master: all statistics of the match, those of the other side, weighted means and the opponent's columns."""
     wide = wide_stats(spark, sf).select("event_id", "side", *[F.col(f"`{c}`") for c in STATISTICS], F.lit(True).alias("has_statistics"))
-    master = feature_master(team_rows(spark, sf), matches(spark, sf), wide)
+    master = feature_master(team_rows(spark, sf), matches(spark, sf), wide, finish=lambda c: rounded(c, 5))
     numbers = [c for c in master.columns if c.startswith(("rolling_", "opponent_", "trend_", "ewm_")) and c != "opponent_id"]
     return master.select(
         *KEY, "prior_match_count", F.coalesce("prior_advanced_stats_count_10", F.lit(0)).cast("long").alias("prior_advanced_stats_count_10"),
-        *[r(c, 5).alias(c) for c in numbers],
+        *[F.col(f"`{c}`") for c in numbers],
     )
 
 

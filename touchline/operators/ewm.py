@@ -37,19 +37,46 @@ def _blocks(frames: Iterator[pd.DataFrame], keys: list[str]):
         yield frame, group
 
 
+def shifted_means(values, group, heads, means, gaps, span):
+    """The mean before each row, and after the last one its mean and the rows since the last value.
+
+    ``means`` and ``gaps`` are what the groups, which begin at ``heads``, had before.
+    """
+    alpha = 2.0 / (span + 1)
+    merged, known = values.copy(), {}
+    for i in np.flatnonzero(~np.isnan(means)):
+        a, b = heads[i], heads[i + 1] if i + 1 < len(heads) else len(values)
+        seen = np.flatnonzero(~np.isnan(values[a:b]))
+        known[i] = int(seen[0]) if len(seen) else b - a
+        if len(seen):
+            d = (1 - alpha) ** (gaps[i] + seen[0] + 1)
+            merged[a + seen[0]] = (d * means[i] + alpha * values[a + seen[0]]) / (d + alpha)
+    column = pd.Series(merged)
+    if len(heads) > 1:  # the groups stand in order, so their results do
+        smooth = column.groupby(group, sort=False).ewm(span=span, adjust=False).mean().to_numpy().copy()
+    else:
+        smooth = column.ewm(span=span, adjust=False).mean().to_numpy().copy()
+    for i, n in known.items():
+        smooth[heads[i] : heads[i] + n] = means[i]
+    shifted = np.r_[np.nan, smooth[:-1]]
+    shifted[heads] = means
+    own = values[heads[-1] :]
+    seen = np.flatnonzero(~np.isnan(own))
+    trailing = len(own) - 1 - seen[-1] if len(seen) else np.nan_to_num(gaps[-1]) + len(own)
+    return shifted, (smooth[-1], float(trailing))
+
+
 def _ewm_batches(frames, keys, columns, span, starts):
     """Yield (frame, {column: shifted ewm}) with state carried across batches.
 
     The state is a mean and the rows since its last value. It enters the first
     value of a group in closed form, so the length of a gap costs nothing.
     """
-    alpha = 2.0 / (span + 1)
     state_group, state = None, {}
     for frame, group in _blocks(frames, keys):
         if state_group != group[0]:
             state = {}
         heads = np.r_[0, np.flatnonzero(np.diff(group)) + 1]
-        ends = np.r_[heads[1:], len(group)]
         out, new_state = {}, {}
         for c in columns:
             values = pd.to_numeric(frame[c], errors="coerce").to_numpy("float64")
@@ -59,25 +86,7 @@ def _ewm_batches(frames, keys, columns, span, starts):
                 gaps = frame[f"{starts}_g_{c}"].to_numpy("float64")[heads].copy()
             if c in state:
                 means[0], gaps[0] = state[c]
-            merged, known = values.copy(), {}
-            for i in np.flatnonzero(~np.isnan(means)):
-                a, b = heads[i], ends[i]
-                seen = np.flatnonzero(~np.isnan(values[a:b]))
-                known[i] = int(seen[0]) if len(seen) else b - a
-                if len(seen):
-                    d = (1 - alpha) ** (gaps[i] + seen[0] + 1)
-                    merged[a + seen[0]] = (d * means[i] + alpha * values[a + seen[0]]) / (d + alpha)
-            smooth = pd.Series(merged).groupby(group, sort=False).ewm(span=span, adjust=False).mean()
-            smooth = smooth.droplevel(0).sort_index().to_numpy().copy()
-            for i, n in known.items():
-                smooth[heads[i] : heads[i] + n] = means[i]
-            shifted = np.r_[np.nan, smooth[:-1]]
-            shifted[heads] = means
-            out[c] = shifted
-            own = values[heads[-1] :]
-            seen = np.flatnonzero(~np.isnan(own))
-            trailing = len(own) - 1 - seen[-1] if len(seen) else np.nan_to_num(gaps[-1]) + len(own)
-            new_state[c] = (smooth[-1], float(trailing))
+            out[c], new_state[c] = shifted_means(values, group, heads, means, gaps, span)
         state, state_group = new_state, group[-1]
         yield frame, out
 
@@ -122,7 +131,10 @@ def ewm_features(
         sorted_rows = slim.repartition(team).sortWithinPartitions(team, *order)
         smoothed = sorted_rows.mapInPandas(lambda frames: run(frames, [team], None), result)
     else:
-        sliced = sliced_once(slim, [team], order).sortWithinPartitions(team, *order)
+        sliced = sliced_once(slim, [team], order)
+        if SLICE in rows.columns:  # joins since the cut may have dealt the rows otherwise
+            sliced = sliced.repartition(SLICE, team)
+        sliced = sliced.sortWithinPartitions(team, *order)
         started = _slice_starts(sliced, team, vs, span)
         smoothed = started.sortWithinPartitions(team, *order).mapInPandas(
             lambda frames: run(frames, [SLICE, team], "s"), result
@@ -157,7 +169,7 @@ def _slice_starts(sliced: DataFrame, team: str, vs: list[str], span: int) -> Dat
                         done.append(close(open_key, acc))
                     open_key, acc = key, {"rows": 0, **{v: None for v in vs}}
                 for v in vs:
-                    acc[v] = _summarise_values(acc[v], part[v].to_numpy("float64"), acc["rows"], alpha)
+                    acc[v] = summarise_values(acc[v], part[v].to_numpy("float64"), acc["rows"], alpha)
                 acc["rows"] += len(part)
             if done:
                 yield pd.DataFrame(done, columns=summary_schema.names)
@@ -177,15 +189,7 @@ def _slice_starts(sliced: DataFrame, team: str, vs: list[str], span: int) -> Dat
             out.append({SLICE: row[SLICE], team: row[team], **{f"s_m_{v}": state[v][0] for v in vs},
                         **{f"s_g_{v}": state[v][1] for v in vs}})
             for v in vs:
-                m, gap = state[v]
-                if np.isnan(row[f"first_{v}"]):
-                    state[v] = (m, gap + row["rows"])
-                    continue
-                x = row[f"first_{v}"]
-                if not np.isnan(m):
-                    d = (1 - alpha) ** (gap + row[f"at_{v}"] + 1)
-                    x = (d * m + alpha * x) / (d + alpha)
-                state[v] = (row[f"scale_{v}"] * x + row[f"offset_{v}"], row[f"gap_{v}"])
+                state[v] = compose_state(*state[v], *(row[f"{p}_{v}"] for p in ("first", "at", "scale", "offset", "gap")), row["rows"], alpha)
         return pd.DataFrame(out, columns=[f.name for f in start_fields])
 
     # Only a team that goes on into another slice leaves a state there; slices are ranges, so there is at most one for each border.
@@ -200,7 +204,7 @@ def _slice_starts(sliced: DataFrame, team: str, vs: list[str], span: int) -> Dat
     return sliced.join(renamed, condition, "left").drop("_k_slice", "_k_team")
 
 
-def _summarise_values(acc, values, offset_rows, alpha):
+def summarise_values(acc, values, offset_rows, alpha):
     """(first, at, scale, offset, gap) of a group's values, extended by one more block."""
     places = np.flatnonzero(~np.isnan(values))
     if len(places) == 0:
@@ -225,3 +229,13 @@ def _summarise_values(acc, values, offset_rows, alpha):
         whole = float(np.prod(keep))
         scale, offset = scale * whole, offset * whole + float(np.sum(add * after))
     return (first, at, scale, offset, float(len(values) - 1 - places[-1]))
+
+
+def compose_state(mean, since, first, at, scale, offset, gap, rows, alpha):
+    """The mean and the rows since the last value after a slice that ``summarise_values`` describes."""
+    if np.isnan(first):
+        return mean, since + rows
+    if not np.isnan(mean):
+        d = (1 - alpha) ** (since + at + 1)
+        first = (d * mean + alpha * first) / (d + alpha)
+    return scale * first + offset, gap

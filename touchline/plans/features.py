@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ewm import ewm_features
-from touchline.operators.history import count_recent, prior_count, rolling_features
+from touchline.operators.history import count_recent, prior_count, recent_totals, rolling_features
 from touchline.operators.joins import checked_join, with_opponent
 from touchline.operators.ordered import SLICE, cut
+from touchline.operators.passes import history_features
 from touchline.operators.perspective import matchup, playable
 from touchline.operators.sets import by_prefix, present
+from touchline.session import cut_lineage
 
 # Columns of the exported marts.
 CONTEXT_COLUMNS = [
@@ -151,21 +153,30 @@ def feature_master(
     ratings: DataFrame | None = None,
     with_ewm: bool = True,
     bounded: bool = False,
+    finish: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """Gold table: one row per (event, side) with features of earlier rows only.
 
     Statistics columns start with ``ALL_``. Both sides' histories use one sort
-    per team; the opponent's features come from one self join on the event.
+    per team; the opponent's features come from one self join on the event. With
+    weighted means, all columns over a team's history come from one pass. ``finish``
+    makes the final form of a history column, once, before the opponent gets it.
     """
     base = team_rows
     stat_columns: list[str] = []
     if stats is not None:
         extra = [c for c in stats.columns if c not in {"team_id", "opponent_id"}]
         stat_columns = [c for c in extra if c.startswith("ALL_")]
-        base = checked_join(base, stats.select(*[F.col(f"`{c}`") for c in extra]), ["event_id", "side"])
+        wide = cut_lineage(stats.select(*[F.col(f"`{c}`") for c in extra]))  # the check and the join read it
+        base = checked_join(base, wide, ["event_id", "side"])
     if ratings is not None:
         base = base.join(ratings, ["event_id", "team_id", "opponent_id", "side"], "left")
-    base = playable(base)
+    asked, base = playable(team_rows if ratings is None else base), playable(base)  # the same rows, the first without statistics
+    whole = with_ewm and not bounded
+    recent, row_key = "fixture_congestion_14d", ["event_id", "side"]
+    if whole:  # joined while rows are narrow
+        counted = base.join(recent_totals(asked, "team_id", "kickoff_utc", 14, recent, row_key), row_key, "left")
+        base = counted.select(*[F.col(f"`{c}`") for c in base.columns], F.coalesce(recent, F.lit(0)).alias(recent))
     if "team_displayed_ranking" in base.columns:
         base = base.withColumn(
             "ranking_difference", F.col("team_displayed_ranking") - F.col("opponent_displayed_ranking")
@@ -179,16 +190,22 @@ def feature_master(
     flagged = base if "has_statistics" in base.columns else base.withColumn("has_statistics", F.lit(False))
     order = ["kickoff_utc", "event_id"]
     ready = flagged if bounded else cut(flagged, ["team_id"], order)  # one cut for all steps over a team's history
-    out = rolling_features(
-        ready, sources, order=order, bounded=bounded,
-        flags={"prior_advanced_stats_count_10": ("has_statistics", 10)},
-    )
-    out = prior_count(out, "team_id", order, bounded=bounded)
-    out = count_recent(out, "team_id", "kickoff_utc", 14, "fixture_congestion_14d", ["event_id", "side"], bounded)
-    if with_ewm:
-        out = ewm_features(out, sources, order=order, bounded=bounded)
+    advanced = {"prior_advanced_stats_count_10": ("has_statistics", 10)}
+    if whole:
+        out = history_features(ready, sources, order=order, flags=advanced)
+        last = [recent, *(c for c in out.columns if c.startswith("ewm_") and c not in ready.columns)]
+        out = out.select(*[F.col(f"`{c}`") for c in [*(c for c in out.columns if c not in last), *last]])
+    else:
+        out = rolling_features(ready, sources, order=order, bounded=bounded, flags=advanced)
+        out = prior_count(out, "team_id", order, bounded=bounded)
+        out = count_recent(out, "team_id", "kickoff_utc", 14, recent, row_key, bounded)
+        if with_ewm:
+            out = ewm_features(out, sources, order=order, bounded=bounded)
     shared = [c for c in out.columns if c.startswith(("rolling_", "ewm_", "trend_"))]
-    return with_opponent(out.drop(SLICE), shared, paired=True)
+    out = out.drop(SLICE)
+    if finish is not None:
+        out = out.select(*[finish(c).alias(c) if c in shared else F.col(f"`{c}`") for c in out.columns])
+    return with_opponent(out, shared, paired=True)
 
 
 def leakage_safe(master: DataFrame, targets: bool = False) -> DataFrame:
