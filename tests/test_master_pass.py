@@ -127,3 +127,15 @@ def test_counts_of_recent_rows_by_key(spark):
     got = table(history.count_recent(rows, "team_id", "kickoff_utc", 14, "recent", ["event_id", "side"]))
     want = table(history.count_recent(rows, "team_id", "kickoff_utc", 14, "recent", ["event_id", "side"], bounded=True))
     assert got["recent"].tolist() == want["recent"].tolist()
+
+
+def test_home_comes_before_away_when_both_teams_are_unknown(spark):
+    rows, stats = played(spark, 100)
+    rows = rows.withColumn("team_id", F.lit(None).cast("long")).withColumn("opponent_id", F.lit(None).cast("long"))
+    rows = rows.withColumn("is_away", F.when(F.col("side") == "away", 1).otherwise(0))
+    with settings(spark, autoBroadcastJoinThreshold="-1", adaptive__coalescePartitions__enabled="false"):
+        got = table(features.feature_master(rows, None, stats).select("event_id", "side", "kickoff_utc", "goals_for", "prior_match_count", "ewm_goals_for_5"))
+    got = got.sort_values(["kickoff_utc", "event_id", "side"], ascending=[True, True, False])
+    assert got["prior_match_count"].tolist() == list(range(200))
+    want = got["goals_for"].shift(1).ewm(span=5, adjust=False).mean()
+    np.testing.assert_allclose(got["ewm_goals_for_5"], want, atol=1e-9)

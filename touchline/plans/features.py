@@ -189,6 +189,8 @@ def feature_master(
         sources += [f"against_{c}" for c in stat_columns]
     flagged = base if "has_statistics" in base.columns else base.withColumn("has_statistics", F.lit(False))
     order = ["kickoff_utc", "event_id"]
+    if whole:  # both sides of an event may be of the unknown team: the home side comes first, wherever joins dealt the rows
+        order += present(flagged, ["is_away"])
     ready = flagged if bounded else cut(flagged, ["team_id"], order)  # one cut for all steps over a team's history
     advanced = {"prior_advanced_stats_count_10": ("has_statistics", 10)}
     if whole:
